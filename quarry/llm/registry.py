@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import simhash
+from quarry.llm import secrets, simhash
 from quarry.llm.common import table
 
 
@@ -14,5 +14,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op7_simhash": op7_simhash}
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.expr("array_join(transform(filter(spans, s -> s.kind IN ('assign', 'access', 'hex')), s -> concat_ws(':', s.kind, s.start, s.end)), ',')")
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) AS long)").alias(f"n_{k}") for k in secrets.BASE_KINDS]
+    every = F.expr("array_join(transform(spans, s -> concat_ws(':', s.kind, s.start, s.end)), ',')")
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
+
+
+QUERIES = {"op4_secrets": op4_secrets, "op7_simhash": op7_simhash}
 ORACLES: dict[str, str] = {}
