@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import secrets, simhash
+from quarry.llm import secrets, simhash, toxicity
 from quarry.llm.common import table
 
 
@@ -22,5 +22,21 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
 
 
-QUERIES = {"op4_secrets": op4_secrets, "op7_simhash": op7_simhash}
+def held_out():
+    """True of the documents that learning must not see: the CRC-32 of their id leaves 1 modulo 3."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    return toxicity.learn(docs, labels)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {"op4_secrets": op4_secrets, "op10_toxicity": op10_toxicity, "op7_simhash": op7_simhash}
 ORACLES: dict[str, str] = {}
