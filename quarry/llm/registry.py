@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import secrets, simhash, toxicity
+from quarry.llm import packing, secrets, simhash, toxicity
 from quarry.llm.common import table
 
 
@@ -38,5 +39,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {"op4_secrets": op4_secrets, "op10_toxicity": op10_toxicity, "op7_simhash": op7_simhash}
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), payload=packing.crc32_of, payload_type=pa.int64())
+    return packed.select("doc_id", "start", "length", F.col("payload").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {"op2_packing": op2_packing, "op4_secrets": op4_secrets, "op10_toxicity": op10_toxicity, "op7_simhash": op7_simhash}
 ORACLES: dict[str, str] = {}
