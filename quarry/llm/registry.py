@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import packing, secrets, simhash, toxicity
+from quarry.llm import ann, packing, secrets, simhash, toxicity
 from quarry.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     base = F.expr("array_join(transform(filter(spans, s -> s.kind IN ('assign', 'access', 'hex')), s -> concat_ws(':', s.kind, s.start, s.end)), ',')")
@@ -44,5 +48,5 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.col("payload").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op2_packing": op2_packing, "op4_secrets": op4_secrets, "op10_toxicity": op10_toxicity, "op7_simhash": op7_simhash}
+QUERIES = {"op1_ann": op1_ann, "op2_packing": op2_packing, "op4_secrets": op4_secrets, "op10_toxicity": op10_toxicity, "op7_simhash": op7_simhash}
 ORACLES: dict[str, str] = {}
