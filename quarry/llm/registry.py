@@ -6,10 +6,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, packing, secrets, simhash, toxicity
+from quarry.llm import ann, packing, secrets, simhash, suffixes, toxicity
 from quarry.llm.common import table
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.repeated_strings(table(spark, sf_dir, "documents"))
+    n_removed = F.expr("aggregate(spans, 0L, (n, s) -> n + s[1] - s[0])")
+    return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -48,5 +54,5 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.col("payload").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op1_ann": op1_ann, "op2_packing": op2_packing, "op4_secrets": op4_secrets, "op10_toxicity": op10_toxicity, "op7_simhash": op7_simhash}
+QUERIES = {"op1_ann": op1_ann, "op2_packing": op2_packing, "op4_secrets": op4_secrets, "op10_toxicity": op10_toxicity, "op6_suffix_dedup": op6_suffix_dedup, "op7_simhash": op7_simhash}
 ORACLES: dict[str, str] = {}
