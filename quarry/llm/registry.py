@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, packing, secrets, simhash, suffixes, toxicity
+from quarry.llm import ann, blocks, packing, secrets, simhash, suffixes, toxicity
 from quarry.llm.common import table
 
 
@@ -54,5 +54,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.col("payload").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op1_ann": op1_ann, "op2_packing": op2_packing, "op4_secrets": op4_secrets, "op10_toxicity": op10_toxicity, "op6_suffix_dedup": op6_suffix_dedup, "op7_simhash": op7_simhash}
+def op8_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = blocks.repeated_runs(table(spark, sf_dir, "documents"))
+    n_removed = F.expr("aggregate(spans, 0L, (n, s) -> n + s[1] - s[0])")
+    return found.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_ann": op1_ann, "op2_packing": op2_packing, "op4_secrets": op4_secrets, "op10_toxicity": op10_toxicity, "op6_suffix_dedup": op6_suffix_dedup, "op7_simhash": op7_simhash, "op8_blocks": op8_blocks}
 ORACLES: dict[str, str] = {}
