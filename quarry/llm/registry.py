@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, blocks, packing, secrets, simhash, suffixes, toxicity
+from quarry.llm import ann, blocks, decontaminate, licenses, oracles, packing, secrets, simhash, suffixes, toxicity
 from quarry.llm.common import table
 
 
@@ -60,5 +60,14 @@ def op8_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_ann": op1_ann, "op2_packing": op2_packing, "op4_secrets": op4_secrets, "op10_toxicity": op10_toxicity, "op6_suffix_dedup": op6_suffix_dedup, "op7_simhash": op7_simhash, "op8_blocks": op8_blocks}
-ORACLES: dict[str, str] = {}
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+QUERIES = {"op1_ann": op1_ann, "op2_packing": op2_packing, "op3_licenses": op3_licenses, "op4_secrets": op4_secrets, "op10_toxicity": op10_toxicity, "op6_suffix_dedup": op6_suffix_dedup, "op7_simhash": op7_simhash, "op8_blocks": op8_blocks, "op9_decontaminate": op9_decontaminate}
+ORACLES = {"op3_licenses": oracles.op3(), "op9_decontaminate": oracles.OP9}
