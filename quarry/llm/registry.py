@@ -6,10 +6,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, blocks, decontaminate, licenses, oracles, packing, secrets, simhash, suffixes, toxicity
+from quarry.llm import ann, blocks, decontaminate, html, licenses, oracles, packing, secrets, simhash, suffixes, toxicity
 from quarry.llm.common import table
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.repeated_strings(table(spark, sf_dir, "documents"))
     n_removed = F.expr("aggregate(spans, 0L, (n, s) -> n + s[1] - s[0])")
@@ -69,5 +73,5 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
-QUERIES = {"op1_ann": op1_ann, "op2_packing": op2_packing, "op3_licenses": op3_licenses, "op4_secrets": op4_secrets, "op10_toxicity": op10_toxicity, "op6_suffix_dedup": op6_suffix_dedup, "op7_simhash": op7_simhash, "op8_blocks": op8_blocks, "op9_decontaminate": op9_decontaminate}
+QUERIES = {"op1_ann": op1_ann, "op2_packing": op2_packing, "op3_licenses": op3_licenses, "op4_secrets": op4_secrets, "op10_toxicity": op10_toxicity, "op5_html": op5_html, "op6_suffix_dedup": op6_suffix_dedup, "op7_simhash": op7_simhash, "op8_blocks": op8_blocks, "op9_decontaminate": op9_decontaminate}
 ORACLES = {"op3_licenses": oracles.op3(), "op9_decontaminate": oracles.OP9}
