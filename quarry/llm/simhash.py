@@ -40,6 +40,11 @@ def fingerprint(data: bytes, words: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
+def signed(fp: int) -> int:
+    """The same 64 bits as a signed long."""
+    return fp - (1 << 64) if fp >> 63 else fp
+
+
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) of every row. Null and blank texts have fingerprint 0."""
 
