@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import keyed
+from quarry.llm.common import checkpointed, keyed
 
 #: Words are runs of letters and digits in lower case.
 _WORDS = r"filter(split(lower(text), '[^\\p{L}\\p{N}]+'), w -> w <> '')"
@@ -41,6 +41,11 @@ def _blocks(fp: str, radius: int) -> str:
     return f"array({', '.join(cuts)})"
 
 
+def _held(df: DataFrame, name: str, expression: str) -> DataFrame:
+    """df with a column computed once a row: a generator, unlike a projection, is not copied into the lambdas that use it."""
+    return df.withColumn(name, F.explode(F.expr(f"array({expression})")))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 23, broadcast_grams: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, similarity of each document and item that it holds: the best window's.
 
@@ -53,8 +58,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text IS NOT NULL AND item_id IS NOT NULL").dropDuplicates(["item_id"])
     items = items.select("item_id", F.expr(_WORDS).alias("ws")).where("size(ws) > 0")
     sizes = [f"WHEN {k} THEN {_grams(k)}" for k in range(1, WORDS + 1)]
-    items = items.withColumn("k", F.least(F.size("ws"), F.lit(WORDS))).withColumn("grams", F.expr(f"CASE k {' '.join(sizes)} END"))
-    items = items.select("item_id", "k", "grams", F.size("grams").alias("m")).withColumn("item_fp", F.expr(_fingerprint("grams", "m")))
+    items = _held(items.withColumn("k", F.least(F.size("ws"), F.lit(WORDS))), "grams", f"CASE k {' '.join(sizes)} END")
+    items = items.select("item_id", "k", "grams", F.size("grams").alias("m"))
     grams = items.select("item_id", "k", "m", F.explode("grams").alias("g")).groupBy("item_id", "k", "m", "g").agg(F.count("*").alias("weight"))
     used = [r.k for r in items.select("k").distinct().collect()]  # at most five sizes
     small = F.broadcast if grams.limit(broadcast_grams + 1).count() <= broadcast_grams else (lambda df: df)
@@ -72,15 +77,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     places = places.agg(F.array_sort(F.collect_list(F.struct("pos", "g", "weight"))).alias("places")).where(enough)
 
     # the windows that hold enough shared shingles, of the documents that have any
+    places = checkpointed(places)
     d = docs.join(places.select("doc_id", "h", "item_id", "k", "m", "places").withColumnRenamed("doc_id", "_id").withColumnRenamed("h", "_h"), (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    d = d.select("doc_id", "h", "item_id", "k", "m", "places", F.expr(_WORDS).alias("ws")).withColumn("grams", F.expr(f"CASE k {' '.join(sizes)} END")).where("size(grams) >= m")
+    d = _held(d, "ws", _WORDS)
+    d = _held(d, "grams", f"CASE k {' '.join(sizes)} END").where("size(grams) >= m")
     starts = "array_distinct(transform(places, x -> least(x.pos, size(grams) - m)))"
     d = d.withColumn("start", F.explode(F.expr(starts))).withColumn("inside", F.expr("filter(places, x -> x.pos >= start AND x.pos < start + m)"))
-    d = d.where(enough.replace("places", "inside"))
-    d = d.select("doc_id", "h", "item_id", "m", "start", "inside", F.expr(_fingerprint("slice(grams, start + 1, m)", "m")).alias("fp")).distinct()
+    d = _held(d.where(enough.replace("places", "inside")), "grams", "slice(grams, start + 1, m)")
+    d = _held(d.distinct(), "fp", _fingerprint("grams", "m")).select("doc_id", "h", "item_id", "m", "start", "inside", "fp")
 
     probes = d.withColumn("b", F.explode(F.expr(_blocks("fp", radius)))).select("*", "b.block", "b.value").drop("b")
-    index = items.select("item_id", "item_fp", F.explode(F.expr(_blocks("item_fp", radius))).alias("b")).select("item_id", "item_fp", "b.block", "b.value")
+    index = _held(items, "item_fp", _fingerprint("grams", "m")).select("item_id", "item_fp", F.explode(F.expr(_blocks("item_fp", radius))).alias("b")).select("item_id", "item_fp", "b.block", "b.value")
     near = probes.join(index, ["item_id", "block", "value"]).where(f"bit_count(fp ^ item_fp) <= {radius}").dropDuplicates(["doc_id", "h", "item_id", "start"])
 
     # sum of least: each distinct shared shingle counts as often as window and item both hold it
