@@ -154,16 +154,17 @@ def materialized(hits: DataFrame, files: DataFrame, chars: int = 800, unit: bool
     and unit_rows. Hits whose file is gone are left out."""
     from quarry.sources.corpus import line_array
 
-    schema = hits.select("*")
-    have = schema.join(files.select("path", line_array(F.col("text")).alias("_lines")), "path")
+    names, kept = hits.columns, hits.schema.toDDL()
+    have = hits.join(files.select("path", line_array(F.col("text")).alias("_lines")), "path")
     rows = "array<struct<line: int, text: string>>"
-    out = f"{schema._jdf.schema().toDDL()}, lines array<string>, lines_from int, defines array<string>, unit_rows {rows}"
+    out = f"{kept}, lines array<string>, lines_from int, defines array<string>, unit_rows {rows}"
 
     def run(stream):
         for pdf in stream:
+            place = pdf.columns.get_loc("_lines")
             cols = {"lines": [], "lines_from": [], "defines": [], "unit_rows": []}
             for h in pdf.itertuples(index=False):
-                ls = list(h[pdf.columns.get_loc("_lines")])
+                ls = list(h[place])
                 at = min(max(h.line - 1, 0), len(ls) - 1)
                 a, b = passage(ls, at, chars) if ls else (0, -1)
                 cols["lines"].append(ls[a : b + 1])
@@ -171,9 +172,9 @@ def materialized(hits: DataFrame, files: DataFrame, chars: int = 800, unit: bool
                 cols["defines"].append(declared_names("\n".join(ls[h.chunk_start_line - 1 : h.chunk_end_line])))
                 last = min(h.end_line, len(ls)) - 1
                 cols["unit_rows"].append([{"line": i + 1, "text": t} for i, t in unit_view(ls, min(h.start_line - 1, last), last, h.path)] if unit and ls else [])
-            yield pdf.drop(columns="_lines").assign(**cols)[[*schema.columns, *cols]]
+            yield pdf.drop(columns="_lines").assign(**cols)[[*names, *cols]]
 
-    return have.select(*schema.columns, "_lines").mapInPandas(run, out)
+    return have.select(*names, "_lines").mapInPandas(run, out)
 
 
 def block(path: Column, rows: Column) -> Column:

@@ -66,6 +66,15 @@ class Tables:
     vectors: DataFrame
     weights: DataFrame | None = None
 
+    def kept(self) -> Tables:
+        """The same tables, tokens cached: several stages of a search read them. The cache spills to disk, is computed
+        again where an executor is lost, and is dropped by release()."""
+        self.tokens.persist()
+        return self
+
+    def release(self) -> None:
+        self.tokens.unpersist()
+
 
 def resolve_mode(pattern: bool, mode: str | None) -> tuple[str, str]:
     """(mode, why): a pattern asks for exact search whatever the mode; without either it is semantic."""
@@ -104,12 +113,13 @@ def candidates(t: Tables, queries: DataFrame, options: SearchOptions) -> DataFra
     if options.bridge:
         more = lexical.bridge_terms(t.tokens, asked, options.bridge).select("query_id", "term", F.lit(options.bridge_weight).alias("weight"))
         lex = lexical.bm25(t.tokens, asked, POOL, options.prefix, weighted=lexical.query_terms(asked).unionByName(more))
+    lex = lex.persist()  # at most 128 rows a phrase; four stages read it
     sem = None
     if options.mode in ("semantic", "hybrid"):
         sem = semantic.nearest(t.vectors, semantic.query_vectors(asked, t.weights), POOL, KEY, allow)
         if options.maxsim:
             sem = semantic.max_sim_rerank(sem, t.tokens, asked, options.k, options.maxsim_pool, options.maxsim_blend, t.weights)
-    ranking = fusion.fuse(lex, sem if sem is not None else lex.withColumn("distance", 1 - F.col("score")), options.mode, options.sem_weight, options.width)
+    ranking = fusion.fuse(lex, sem if sem is not None else lex.withColumn("distance", 1 - F.col("score")), options.mode, options.sem_weight, options.width).persist()
     head = 6 * options.k
     near = ranking.where(F.col("rank") <= head).select(*KEY).distinct()
     declared = display.declared(t.chunks.join(near, KEY, "left_semi")) if options.decl_boost else None
@@ -138,7 +148,7 @@ def search(files: DataFrame, queries: DataFrame, options: SearchOptions = Search
         found = exact.search(scoped(files, options.prefix, list(options.paths), list(options.globs)), pattern.raw, literal=options.literal, ignore_case=options.ignore_case, word=options.word)
         return found.select(F.lit(pattern.query_id).alias("query_id"), "path", F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"), F.col("line_no").alias("line"), F.col("line").alias("text"), F.lit(1.0).alias("score"))
     files = scoped(files, "", list(options.paths), list(options.globs))
-    return search_tables(tables(files, options), queries, options)
+    return search_tables(tables(files, options).kept(), queries, options)
 
 
 def search_one(spark: SparkSession, files: DataFrame, query: str, options: SearchOptions = SearchOptions()) -> DataFrame:
