@@ -297,19 +297,19 @@ def vector_normalize_quantize(spark, sf_dir):
     return _vectors(spark, sf_dir).select("vec_id", V.quantize(F.col("v")).alias("q"))
 
 
-@query(O.with_("pairs AS (SELECT a.vec_id AS query_id, b.vec_id, 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS distance FROM embeddings a, embeddings b WHERE a.vec_id < 5)", select="SELECT query_id, vec_id, rank, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), vec_id)::INT AS rank FROM pairs) WHERE rank <= 10"))
+@query(O.with_("pairs AS (SELECT a.vec_id AS query_id, b.vec_id, 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)", select="SELECT query_id, vec_id, rank, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), vec_id)::INT AS rank FROM pairs) WHERE rank <= 10"))
 def cosine_topk(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
-    return rounded(semantic.nearest_exact(rows, rows.where("vec_id < 5").withColumnRenamed("vec_id", "query_id"), 10, ["vec_id"]), "distance")
+    return rounded(semantic.nearest_exact(rows, rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 10, ["vec_id"]), "distance")
 
 
 def _i8_sql(where: str) -> str:
-    return O.with_(_NORMED, _QUANTED, f"pairs AS (SELECT a.vec_id AS query_id, b.vec_id, {_I8} AS distance FROM z a, z b WHERE a.vec_id < 5 AND {where})", select="SELECT query_id, vec_id, rank, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM pairs) WHERE rank <= 10")
+    return O.with_(_NORMED, _QUANTED, f"pairs AS (SELECT a.vec_id AS query_id, b.vec_id, {_I8} AS distance FROM z a, z b WHERE a.vec_id % 100 = 0 AND {where})", select="SELECT query_id, vec_id, rank, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM pairs) WHERE rank <= 10")
 
 
 def _i8(spark, sf_dir, allow=None):
     rows = _vectors(spark, sf_dir).select("vec_id", "label", V.quantize(F.col("v")).alias("q"))
-    return rounded(semantic.nearest(rows, rows.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "q"), 10, ["vec_id"], allow), "distance")
+    return rounded(semantic.nearest(rows, rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "q"), 10, ["vec_id"], allow), "distance")
 
 
 @query(_i8_sql("true"))
@@ -332,17 +332,16 @@ def sif_weights(spark, sf_dir):
 
 
 def _pool_sql(weight: str, join: str) -> str:
-    """Components 0 to 3 of the pooled vectors of the chunks of German files."""
+    """Components 0 to 3 of the pooled vectors of all chunks."""
     parts = ", ".join(f"sum(n * {weight} * {O.hash_component('term', repr(str(d)))}) / sum(n * {weight}) AS v{d}" for d in range(32))
     norm = " + ".join(f"v{d} * v{d}" for d in range(32))
-    return f"counts AS (SELECT path, start_line, term, count(*) AS n FROM (SELECT path, start_line, unnest(tokens) AS term FROM tok WHERE path LIKE 'de/%') GROUP BY ALL)", f"raw AS (SELECT path, start_line, {parts} FROM counts {join} GROUP BY path, start_line)", "SELECT path, start_line, " + ", ".join(f"round(v{d} / sqrt({norm}), 6) AS v{d}" for d in range(4)) + " FROM raw"
+    return f"counts AS (SELECT path, start_line, term, count(*) AS n FROM (SELECT path, start_line, unnest(tokens) AS term FROM tok) GROUP BY ALL)", f"raw AS (SELECT path, start_line, {parts} FROM counts {join} GROUP BY path, start_line)", "SELECT path, start_line, " + ", ".join(f"round(v{d} / sqrt({norm}), 6) AS v{d}" for d in range(4)) + " FROM raw"
 
 
 def _pooled(spark, sf_dir, weighted: bool):
     every = tokens(spark, sf_dir)
-    some = every.where(F.col("path").startswith("de/"))
     weights = semantic.sif_weights(semantic.sif_terms(every)) if weighted else None
-    v = semantic.pooled(some, semantic.term_vectors(some.select(F.explode("tokens").alias("term"))), weights)
+    v = semantic.pooled(every, semantic.term_vectors(every.select(F.explode("tokens").alias("term"))), weights)
     return v.select(*KEY, *[F.round(F.get("v", F.lit(d)), 6).alias(f"v{d}") for d in range(4)])
 
 
@@ -410,20 +409,20 @@ def phrase_split(spark, sf_dir):
 
 
 _SIM = (
-    *O.BASE[:4], O.queries(ASKED), O.QTERMS,
-    "head AS (SELECT query_id, path, start_line FROM tok, queries WHERE start_line = 1 AND path LIKE 'de/src1/%')",
+    *_BM25, O.scored(), O.ranked("scored", "head", 30),
     f"qv AS (SELECT query_id, term AS qt, list_transform(range(32), lambda d: {O.hash_component('term', 'd::VARCHAR')}) AS v FROM qterms)",
-    f"tv AS (SELECT term, list_transform(range(32), lambda d: {O.hash_component('term', 'd::VARCHAR')}) AS v FROM (SELECT DISTINCT unnest(tokens) AS term FROM tok WHERE start_line = 1 AND path LIKE 'de/src1/%'))",
+    "ct AS (SELECT DISTINCT path, start_line, term FROM terms WHERE (path, start_line) IN (SELECT (path, start_line) FROM head))",
+    f"tv AS (SELECT term, list_transform(range(32), lambda d: {O.hash_component('term', 'd::VARCHAR')}) AS v FROM (SELECT DISTINCT term FROM ct))",
     "s AS (SELECT query_id, qt, term, list_cosine_similarity(qv.v, tv.v) AS s FROM qv, tv)",
-    "ct AS (SELECT DISTINCT path, start_line, unnest(tokens) AS term FROM tok WHERE start_line = 1 AND path LIKE 'de/src1/%')",
-    "best AS (SELECT query_id, path, start_line, qt, max(s) AS s FROM ct JOIN s USING (term) GROUP BY ALL)",
+    "best AS (SELECT h.query_id, h.path, h.start_line, s.qt, max(s.s) AS s FROM head h JOIN ct USING (path, start_line) JOIN s ON s.term = ct.term AND s.query_id = h.query_id GROUP BY ALL)",
+    "sims AS (SELECT query_id, path, start_line, sum(s) AS sim FROM best GROUP BY ALL)",
 )
 
 
-@query(O.with_(*_SIM, "sims AS (SELECT query_id, path, start_line, sum(s) AS sim FROM best GROUP BY ALL)", select="SELECT query_id, path, start_line, round(sim, 6) AS sim FROM head LEFT JOIN sims USING (query_id, path, start_line)"))
+@query(O.with_(*_SIM, select="SELECT query_id, path, start_line, round(sim, 6) AS sim FROM head LEFT JOIN sims USING (query_id, path, start_line)"))
 def maxsim_scores(spark, sf_dir):
     every = tokens(spark, sf_dir)
-    head = every.where("start_line = 1 AND path LIKE 'de/src1/%'").crossJoin(asked(spark)).select("query_id", *KEY)
+    head = lexical.bm25(every, asked(spark), 30).select("query_id", *KEY)
     return rounded(semantic.max_sim(head, every, asked(spark)), "sim")
 
 
