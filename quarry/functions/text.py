@@ -25,7 +25,8 @@ def text_tokens(text: Column, whole: bool = True) -> Column:
 
     def parts(word: Column) -> Column:
         split = F.split(word, _SEAM)
-        return F.when(F.size(split) > 1, F.concat(split, F.array(word))).otherwise(split) if whole else split
+        split = F.when(word.rlike(_SEAM), F.concat(split, F.array(word)) if whole else split).otherwise(F.array(word))
+        return F.when(word == F.lower(word), F.array(word)).otherwise(split)  # without a capital there is no seam
 
     found = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(_RUN), F.lit(0)), parts))
     return F.transform(F.filter(found, lambda t: F.length(t) >= 2), F.lower)

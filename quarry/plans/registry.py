@@ -40,7 +40,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.from_documents(table(spark, sf_dir, "documents"))
+    return corpus.from_documents(corpus.spread(table(spark, sf_dir, "documents")))
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,13 @@ def from_documents(docs: DataFrame) -> DataFrame:
     return docs.select(path.alias("path"), F.octet_length("text").cast("long").alias("size"), F.lit(0).cast("long").alias("mtime"), "text")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores: a corpus in a few files would leave most of them idle
+    while it is cut into tokens. Larger corpora stay as they are read, without a shuffle."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def from_pages(pages: DataFrame) -> DataFrame:
     path = F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html"))
     return pages.select(path.alias("path"), F.octet_length("html").cast("long").alias("size"), F.lit(0).cast("long").alias("mtime"), F.col("html").alias("text"))
