@@ -17,7 +17,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quarry.llm import exchange
 from quarry.llm.common import batches, checkpointed, keyed, mix, powers
