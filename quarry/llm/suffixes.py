@@ -23,6 +23,9 @@ from quarry.llm.common import batches, checkpointed, keyed, mix, powers
 from quarry.llm.exchange import MIXED, MULTI, WHOLE, WINDOWS
 
 BATCH = 4 << 20
+#: Bits of a place in a batch, the same for every batch, so that equal windows compare the same bits of hashes: a batch
+#: is closed by the text that passes BATCH, and no text reaches 2 GiB.
+_PLACE = 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
@@ -63,7 +66,7 @@ def anchors(strings: Strings, starts: np.ndarray, width: int, seed: int) -> tupl
     if n < width:
         return none
     grams = strings.rolling(seed)
-    low = np.uint64((1 << 24) - 1)
+    low = np.uint64((1 << _PLACE) - 1)
     chosen = (_sliding_least((grams & ~low) | np.arange(len(grams), dtype=np.uint64), width - seed + 1) & low).astype(np.int64)
     lengths = np.diff(starts)
     whole = np.flatnonzero(lengths >= width)

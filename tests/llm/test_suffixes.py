@@ -46,6 +46,39 @@ def test_narrow_windows_and_periods(spark):
     assert got == brute(data, 24)
 
 
+def repeats(texts, width):
+    """The bytes that some repeated string covers, for long texts: candidates begin with eight bytes that occur twice."""
+    data, starts = b"".join(texts), np.cumsum([0, *map(len, texts)])
+    head = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), 8)
+    head = np.ascontiguousarray(head).view(np.uint64).ravel()
+    order = np.argsort(head, kind="stable")
+    same = head[order][1:] == head[order][:-1]
+    again = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
+    again = [p for p in again.tolist() if p + width <= starts[np.searchsorted(starts, p, side="right")]]
+    seen = Counter(data[p : p + width] for p in again)
+    gone = np.zeros(len(data), bool)
+    for p in again:
+        if seen[data[p : p + width]] > 1:
+            gone[p : p + width] = True
+    return [gone[a:b] for a, b in zip(starts, starts[1:], strict=False)]
+
+
+def test_a_document_over_16_mib_equals_brute_force(spark):
+    letters = np.random.default_rng(4).integers(97, 123, 17 << 20, dtype=np.uint8)
+    letters[-5_000:-4_300] = letters[-9_000:-8_300]
+    letters[300:550] = letters[-2_000:-1_750]
+    long = letters.tobytes()
+    texts = [long, long[-700:-400] + b"0123456789" * 9, long[5_000:5_210]]
+    data = [(i, t.decode(), None, None, None) for i, t in enumerate(texts)]
+    want = [[r.tolist() for r in suffixes.runs(at, at + 1)] for at in map(np.flatnonzero, repeats(texts, 200))]
+    assert sum(b > 16 << 20 for _, b in want[0]) == 4
+    got = {r.doc_id: r for r in suffixes.repeated_strings(frame(spark, data).coalesce(1)).collect()}
+    for i, t in enumerate(texts):
+        edges = [0, *sum(want[i], []), len(t)]
+        assert [list(s) for s in got[i].spans] == want[i] and got[i].n_bytes == len(t)
+        assert bytes(got[i].kept) == b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
 def test_family_finds_what_counting_finds():
     rng = np.random.default_rng(1)
     family, seen, contexts, asked = exchange.Family(), Counter(), {}, []
