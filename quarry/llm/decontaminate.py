@@ -2,7 +2,7 @@
 
 Only DataFrame functions. A document is contaminated by an item of n words if a window of n of its words has a
 weighted similarity of `similarity` or more to it: over multisets of 5-word shingles, sum of least over sum of
-greatest multiplicities. Two sets of m shingles that similar share s of them with s / (2m - s) >= similarity, so the
+greatest multiplicities. A document with fewer shingles than the item is one window, all of it. Two sets of m shingles that similar share s of them with s / (2m - s) >= similarity (of m and n: s / (m + n - s)), so the
 shingles common to both, found by a join, name all places where a window can stand; and moving a window right past
 an unshared shingle never lowers its similarity, so windows that start on a shared one, and the last window, do.
 Those windows are fingerprinted and looked up in the index of item fingerprints cut into radius + 1 blocks: two
@@ -65,26 +65,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     small = F.broadcast if grams.limit(broadcast_grams + 1).count() <= broadcast_grams else (lambda df: df)
 
     words = docs.select("doc_id", "h", F.expr(_WORDS).alias("ws"))
-    pieces = [words.select("doc_id", "h", F.lit(k).alias("k"), F.posexplode(F.expr(_grams(k))).alias("pos", "g")) for k in used]
+    pieces = [words.select("doc_id", "h", F.lit(k).alias("k"), F.expr(f"size(ws) - {k - 1}").alias("n"), F.posexplode(F.expr(_grams(k))).alias("pos", "g")) for k in used]
     if not pieces:
         return docs.sparkSession.createDataFrame([], f"doc_id long, item_id {benchmark.schema[item_col].dataType.simpleString()}, similarity double")
     every = pieces[0]
     for piece in pieces[1:]:
         every = every.unionByName(piece)
     shared = every.join(small(grams), ["k", "g"])
-    places = shared.dropDuplicates(["doc_id", "h", "item_id", "pos"]).groupBy("doc_id", "h", "item_id", "k", "m")
-    enough = f"size(places) * {1 + similarity} >= {2 * similarity} * m"
+    places = shared.dropDuplicates(["doc_id", "h", "item_id", "pos"]).groupBy("doc_id", "h", "item_id", "k", "m", "n")
+    enough = f"size(places) * {1 + similarity} >= {similarity} * (m + least(m, n))"
     places = places.agg(F.array_sort(F.collect_list(F.struct("pos", "g", "weight"))).alias("places")).where(enough)
 
     # the windows that hold enough shared shingles, of the documents that have any
     places = checkpointed(places)
-    d = docs.join(places.select("doc_id", "h", "item_id", "k", "m", "places").withColumnRenamed("doc_id", "_id").withColumnRenamed("h", "_h"), (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    d = docs.join(places.select("doc_id", "h", "item_id", "k", "m", "n", F.least("m", "n").alias("w"), "places").withColumnRenamed("doc_id", "_id").withColumnRenamed("h", "_h"), (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     d = _held(d, "ws", _WORDS)
-    d = _held(d, "grams", f"CASE k {' '.join(sizes)} END").where("size(grams) >= m")
-    starts = "array_distinct(transform(places, x -> least(x.pos, size(grams) - m)))"
-    d = d.withColumn("start", F.explode(F.expr(starts))).withColumn("inside", F.expr("filter(places, x -> x.pos >= start AND x.pos < start + m)"))
-    d = _held(d.where(enough.replace("places", "inside")), "grams", "slice(grams, start + 1, m)")
-    d = _held(d.distinct(), "fp", _fingerprint("grams", "m")).select("doc_id", "h", "item_id", "m", "start", "inside", "fp")
+    d = _held(d, "grams", f"CASE k {' '.join(sizes)} END")
+    starts = "array_distinct(transform(places, x -> least(x.pos, n - w)))"
+    d = d.withColumn("start", F.explode(F.expr(starts))).withColumn("inside", F.expr("filter(places, x -> x.pos >= start AND x.pos < start + w)"))
+    d = _held(d.where(enough.replace("places", "inside")), "grams", "slice(grams, start + 1, w)")
+    d = _held(d.distinct(), "fp", _fingerprint("grams", "w")).select("doc_id", "h", "item_id", "m", "w", "start", "inside", "fp")
 
     probes = d.withColumn("b", F.explode(F.expr(_blocks("fp", radius)))).select("*", "b.block", "b.value").drop("b")
     index = _held(items, "item_fp", _fingerprint("grams", "m")).select("item_id", "item_fp", F.explode(F.expr(_blocks("item_fp", radius))).alias("b")).select("item_id", "item_fp", "b.block", "b.value")
@@ -92,5 +92,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
 
     # sum of least: each distinct shared shingle counts as often as window and item both hold it
     least = "aggregate(array_distinct(transform(inside, x -> struct(x.g, x.weight))), 0L, (n, y) -> n + least(y.weight, cast(size(filter(inside, x -> x.g = y.g)) AS long)))"
-    verified = near.withColumn("s", F.expr(least)).withColumn("similarity", F.expr("s / (2 * m - s)")).where(f"s * {1 + similarity} >= {2 * similarity} * m")
+    verified = near.withColumn("s", F.expr(least)).withColumn("similarity", F.expr("s / (m + w - s)")).where(f"s * {1 + similarity} >= {similarity} * (m + w)")
     return verified.groupBy("doc_id", "h", "item_id").agg(F.max("similarity").alias("similarity")).drop("h")

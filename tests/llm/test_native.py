@@ -57,6 +57,33 @@ def test_contaminated_equals_brute_force(spark):
     assert decontaminate.contaminated(frame(spark, data), bench.limit(0)).count() == 0
 
 
+def brute_short(docs, items, similarity=0.8):
+    """Of documents shorter than the item: the whole document is the window."""
+    out = set()
+    for i, text in {(d[0], d[1] or "") for d in docs}:
+        ws = tokens(text)
+        for j, item in items:
+            it = tokens(item)
+            k = min(5, len(it))
+            want, have = Counter(grams(it, k)), Counter(grams(ws, k))
+            like = sum((want & have).values()) / sum((want | have).values())
+            if len(ws) < len(it) and like >= similarity - 1e-12:
+                out.add((i, j, round(like, 6)))
+    return out
+
+
+def test_documents_shorter_than_the_item(spark):
+    base = [f"w{i}" for i in range(30)]
+    cuts = [(a, b) for a in range(5) for b in range(22, 31) if b - a < 30]
+    data = [(n, " ".join(base[a:b]), None, None, None) for n, (a, b) in enumerate(cuts)]
+    data += [(100, " ".join(["x", *base[:28]]), None, None, None), (101, " ".join(base[:4]), None, None, None), (102, "one two", None, None, None), (103, "", None, None, None)]
+    items = [(1, " ".join(base)), (2, "one two three"), (3, " ".join(base[:10] * 3))]
+    want = brute_short(data, items)
+    assert (cuts.index((0, 28)), 1, round(24 / 26, 6)) in want and len(want) < len(cuts)
+    found = decontaminate.contaminated(frame(spark, data), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, round(r.similarity, 6)) for r in found.collect()} == want | brute(data, items)
+
+
 def test_licences(spark):
     mit = licenses.KNOWN[0][1]
     data = [(1, "Copyright (c) 2020 Someone\nCOPYRIGHT 1999 Else\n\n" + mit.replace(" ", "\n  ").replace('"', "'"), None, None, None), (2, f"words\nReleased under the MIT Licence\nx\n * Licensed under CC BY-NC 4.0\n", None, None, None), (3, None, None, None, None), (3, None, None, None, None), (4, " \n!!", None, None, None), (None, "MIT License", None, None, None), (5, mit + " changed", None, None, None)]
