@@ -1,13 +1,13 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact similarity.
+"""Benchmark decontamination: places of windows from shared shingles, exact similarity.
 
 Only DataFrame functions. A document is contaminated by an item of n words if a window of n of its words has a
 weighted similarity of `similarity` or more to it: over multisets of 5-word shingles, sum of least over sum of
-greatest multiplicities. A document with fewer shingles than the item is one window, all of it. Two sets of m shingles that similar share s of them with s / (2m - s) >= similarity (of m and n: s / (m + n - s)), so the
-shingles common to both, found by a join, name all places where a window can stand; and moving a window right past
-an unshared shingle never lowers its similarity, so windows that start on a shared one, and the last window, do.
-Those windows are fingerprinted and looked up in the index of item fingerprints cut into radius + 1 blocks: two
-fingerprints within the radius agree on a block. What agrees is verified exactly. Similar texts differ by about a
-tenth of the bits; the default radius of 23 is over five deviations beyond that.
+greatest multiplicities. A document with fewer shingles than the item is one window, all of it. A window of w shingles
+that is similar to an item of m shares s of them with s / (m + w - s) >= similarity, so the shingles common to both,
+found by a join, name all places where a window can stand; and moving a window right past an unshared shingle never
+lowers its similarity, so windows that start on a shared one, and the last window, do.
+Each is verified exactly. The join leaves out nothing similar, so no SimHash index stands beside it: it could find no
+further window, and its radius drops similar ones (two words in turn, one shingle more of either, turn a fingerprint).
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import checkpointed, keyed
+from quarry.llm.common import keyed
 
 #: Words are runs of letters and digits in lower case.
 _WORDS = r"filter(split(lower(text), '[^\\p{L}\\p{N}]+'), w -> w <> '')"
@@ -28,25 +28,12 @@ def _grams(k: int) -> str:
     return f"IF(size(ws) >= {k}, transform(sequence(0, size(ws) - {k}), i -> xxhash64({parts})), array())"
 
 
-def _fingerprint(grams: str, m: str) -> str:
-    """The SimHash of an array of m hashes: a bit is set if over half of them have it."""
-    bit = f"IF(2 * aggregate({grams}, 0, (n, x) -> n + cast(shiftright(x, b) & 1L AS int)) > {m}, shiftleft(1L, b), 0L)"
-    return f"aggregate(transform(sequence(0, 63), b -> {bit}), 0L, (f, x) -> f | x)"
-
-
-def _blocks(fp: str, radius: int) -> str:
-    """(block, value) of each of radius + 1 blocks of a fingerprint."""
-    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
-    cuts = (f"struct({i} AS block, shiftrightunsigned({fp}, {a}) & {(1 << b - a) - 1}L AS value)" for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)))
-    return f"array({', '.join(cuts)})"
-
-
 def _held(df: DataFrame, name: str, expression: str) -> DataFrame:
     """df with a column computed once a row: a generator, unlike a projection, is not copied into the lambdas that use it."""
     return df.withColumn(name, F.explode(F.expr(f"array({expression})")))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 23, broadcast_grams: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, broadcast_grams: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, similarity of each document and item that it holds: the best window's.
 
     Items of under five words have one shingle, all of their words; items without a word, and null items, match
@@ -76,21 +63,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     enough = f"size(places) * {1 + similarity} >= {similarity} * (m + least(m, n))"
     places = places.agg(F.array_sort(F.collect_list(F.struct("pos", "g", "weight"))).alias("places")).where(enough)
 
-    # the windows that hold enough shared shingles, of the documents that have any
-    places = checkpointed(places)
-    d = docs.join(places.select("doc_id", "h", "item_id", "k", "m", "n", F.least("m", "n").alias("w"), "places").withColumnRenamed("doc_id", "_id").withColumnRenamed("h", "_h"), (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    d = _held(d, "ws", _WORDS)
-    d = _held(d, "grams", f"CASE k {' '.join(sizes)} END")
+    # the windows that hold enough shared shingles
+    d = places.withColumn("w", F.least("m", "n"))
     starts = "array_distinct(transform(places, x -> least(x.pos, n - w)))"
-    d = d.withColumn("start", F.explode(F.expr(starts))).withColumn("inside", F.expr("filter(places, x -> x.pos >= start AND x.pos < start + w)"))
-    d = _held(d.where(enough.replace("places", "inside")), "grams", "slice(grams, start + 1, w)")
-    d = _held(d.distinct(), "fp", _fingerprint("grams", "w")).select("doc_id", "h", "item_id", "m", "w", "start", "inside", "fp")
-
-    probes = d.withColumn("b", F.explode(F.expr(_blocks("fp", radius)))).select("*", "b.block", "b.value").drop("b")
-    index = _held(items, "item_fp", _fingerprint("grams", "m")).select("item_id", "item_fp", F.explode(F.expr(_blocks("item_fp", radius))).alias("b")).select("item_id", "item_fp", "b.block", "b.value")
-    near = probes.join(index, ["item_id", "block", "value"]).where(f"bit_count(fp ^ item_fp) <= {radius}").dropDuplicates(["doc_id", "h", "item_id", "start"])
+    d = d.withColumn("start", F.explode(F.expr(starts)))
+    d = _held(d, "inside", "filter(places, x -> x.pos >= start AND x.pos < start + w)").where(enough.replace("places", "inside"))
 
     # sum of least: each distinct shared shingle counts as often as window and item both hold it
     least = "aggregate(array_distinct(transform(inside, x -> struct(x.g, x.weight))), 0L, (n, y) -> n + least(y.weight, cast(size(filter(inside, x -> x.g = y.g)) AS long)))"
-    verified = near.withColumn("s", F.expr(least)).withColumn("similarity", F.expr("s / (m + w - s)")).where(f"s * {1 + similarity} >= {similarity} * (m + w)")
+    verified = d.withColumn("s", F.expr(least)).withColumn("similarity", F.expr("s / (m + w - s)")).where(f"s * {1 + similarity} >= {similarity} * (m + w)")
     return verified.groupBy("doc_id", "h", "item_id").agg(F.max("similarity").alias("similarity")).drop("h")

@@ -84,6 +84,16 @@ def test_documents_shorter_than_the_item(spark):
     assert {(r.doc_id, r.item_id, round(r.similarity, 6)) for r in found.collect()} == want | brute(data, items)
 
 
+def test_texts_of_two_words_in_turn(spark):
+    pairs = [(f"a{i}", f"b{i}") for i in range(8)]
+    items = [(i, " ".join([x, y] * 11 + [x])) for i, (x, y) in enumerate(pairs)]
+    data = [(i, " ".join([y, x] * 11 + [y]), None, None, None) for i, (x, y) in enumerate(pairs)]
+    want = brute(data, items)
+    assert want == {(i, i, 0.9) for i in range(8)}
+    found = decontaminate.contaminated(frame(spark, data), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, round(r.similarity, 6)) for r in found.collect()} == want
+
+
 def test_licences(spark):
     mit = licenses.KNOWN[0][1]
     data = [(1, "Copyright (c) 2020 Someone\nCOPYRIGHT 1999 Else\n\n" + mit.replace(" ", "\n  ").replace('"', "'"), None, None, None), (2, f"words\nReleased under the MIT Licence\nx\n * Licensed under CC BY-NC 4.0\n", None, None, None), (3, None, None, None, None), (3, None, None, None, None), (4, " \n!!", None, None, None), (None, "MIT License", None, None, None), (5, mit + " changed", None, None, None)]
