@@ -37,17 +37,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     """doc_id, item_id, similarity of each document and item that it holds: the best window's.
 
     Items of under five words have one shingle, all of their words; items without a word, and null items, match
-    nothing, as do null and empty documents. Rows that share id and text count once; a null doc_id stays null. The
+    nothing, as do null and empty documents. Different texts of one item_id are all searched, and count as one item. Rows that share id and text count once; a null doc_id stays null. The
     shingles of the benchmark are broadcast only while they are at most broadcast_grams rows of 40 bytes, and shuffled
     beyond that. Empty tables give no row.
     """
     docs = keyed(docs, id_col, text_col)
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text IS NOT NULL AND item_id IS NOT NULL").dropDuplicates(["item_id"])
-    items = items.select("item_id", F.expr(_WORDS).alias("ws")).where("size(ws) > 0")
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text IS NOT NULL AND item_id IS NOT NULL").withColumn("t", F.xxhash64("text")).dropDuplicates(["item_id", "t"])
+    items = items.select("item_id", "t", F.expr(_WORDS).alias("ws")).where("size(ws) > 0")
     sizes = [f"WHEN {k} THEN {_grams(k)}" for k in range(1, WORDS + 1)]
     items = _held(items.withColumn("k", F.least(F.size("ws"), F.lit(WORDS))), "grams", f"CASE k {' '.join(sizes)} END")
-    items = items.select("item_id", "k", "grams", F.size("grams").alias("m"))
-    grams = items.select("item_id", "k", "m", F.explode("grams").alias("g")).groupBy("item_id", "k", "m", "g").agg(F.count("*").alias("weight"))
+    items = items.select("item_id", "t", "k", "grams", F.size("grams").alias("m"))
+    grams = items.select("item_id", "t", "k", "m", F.explode("grams").alias("g")).groupBy("item_id", "t", "k", "m", "g").agg(F.count("*").alias("weight"))
     used = [r.k for r in items.select("k").distinct().collect()]  # at most five sizes
     small = F.broadcast if grams.limit(broadcast_grams + 1).count() <= broadcast_grams else (lambda df: df)
 
@@ -59,7 +59,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     for piece in pieces[1:]:
         every = every.unionByName(piece)
     shared = every.join(small(grams), ["k", "g"])
-    places = shared.dropDuplicates(["doc_id", "h", "item_id", "pos"]).groupBy("doc_id", "h", "item_id", "k", "m", "n")
+    places = shared.dropDuplicates(["doc_id", "h", "item_id", "t", "pos"]).groupBy("doc_id", "h", "item_id", "t", "k", "m", "n")
     enough = f"size(places) * {1 + similarity} >= {similarity} * (m + least(m, n))"
     places = places.agg(F.array_sort(F.collect_list(F.struct("pos", "g", "weight"))).alias("places")).where(enough)
 

@@ -94,6 +94,14 @@ def test_texts_of_two_words_in_turn(spark):
     assert {(r.doc_id, r.item_id, round(r.similarity, 6)) for r in found.collect()} == want
 
 
+def test_texts_that_share_an_item_id(spark):
+    texts = [" ".join(f"t{t}w{i}" for i in range(20)) for t in range(6)]
+    data = [(i, "pre " + t, None, None, None) for i, t in enumerate(texts)] + [(9, texts[0].replace("t0w19", "x") + " " + texts[1], None, None, None)]
+    bench = spark.createDataFrame([(1, t) for t in [*texts, texts[0]]], "item_id long, text string")
+    found = decontaminate.contaminated(frame(spark, data), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.similarity) for r in found) == [(i, 1, 1.0) for i in [*range(6), 9]]
+
+
 def test_licences(spark):
     mit = licenses.KNOWN[0][1]
     data = [(1, "Copyright (c) 2020 Someone\nCOPYRIGHT 1999 Else\n\n" + mit.replace(" ", "\n  ").replace('"', "'"), None, None, None), (2, f"words\nReleased under the MIT Licence\nx\n * Licensed under CC BY-NC 4.0\n", None, None, None), (3, None, None, None, None), (3, None, None, None, None), (4, " \n!!", None, None, None), (None, "MIT License", None, None, None), (5, mit + " changed", None, None, None)]
