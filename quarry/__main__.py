@@ -1,4 +1,4 @@
-"""python -m quarry QUERY [PATH...]: ranked or exact search of text files; python -m quarry index|status|evict PATH.
+"""python -m quarry QUERY [PATH...]: ranked or exact search of text files; python -m quarry index|status|evict|clear PATH.
 
 Exit codes: 0 with hits, 1 without, 2 on an error.
 """
@@ -29,7 +29,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--all", action="store_true", help="print every exact hit")
     p.add_argument("--json", action="store_true")
     p.add_argument("--mode", choices=["keyword", "bm25", "semantic", "hybrid"])
-    p.add_argument("--index", help="the folder of a persisted index")
+    p.add_argument("--index", help="the folder of a persisted index; for evict and clear, the folder that holds indexes")
+    p.add_argument("--max-bytes", type=int, default=2 << 30, help="what evict leaves")
+    p.add_argument("--file-window", type=int, default=0, help="lines of a window where the scope is one file")
+    p.add_argument("--no-ignore", action="store_true", help="read what ignore files name too")
     p.add_argument("--write-through", action="store_true")
     p.add_argument("--window", type=int, default=32)
     p.add_argument("--overlap", type=int, default=8)
@@ -54,7 +57,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     from quarry.operators.finalize import Finalize
     from quarry.plans import index
     from quarry.plans.search import SearchOptions, resolve_mode, search
-    from quarry.sources.corpus import from_folder
+    from quarry.sources.corpus import from_folder, is_file
 
     asked = args.pattern if args.pattern is not None else args.query
     paths = [args.query, *args.paths] if args.pattern is not None and args.query else args.paths
@@ -66,16 +69,20 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     mode, _ = resolve_mode(args.pattern is not None, args.mode)
     chunk = ChunkParams(args.window, args.overlap, budget=args.chunk_budget, function_cap=args.chunk_cap)
     tail = Finalize(min_score=args.min_score, diversify=not args.no_diversify, fine=not args.no_fine)
-    options = SearchOptions(mode=mode, k=args.k, globs=tuple(args.globs), chunk=chunk, bridge=args.bridge, prf=args.prf, bm25_pin=args.bm25_pin, maxsim=mode == "semantic" and not args.no_maxsim, tail=tail, ignore_case=args.ignore_case, literal=args.literal, word=args.word)
+    options = SearchOptions(mode=mode, k=args.k, globs=tuple(args.globs), chunk=chunk, bridge=args.bridge, prf=args.prf, bm25_pin=args.bm25_pin, maxsim=mode == "semantic" and not args.no_maxsim, tail=tail, lines=args.lines, file_window=args.file_window, ignore_case=args.ignore_case, literal=args.literal, word=args.word)
     try:
-        files = from_folder(spark, paths[0], None if mode == "keyword" else chunk.max_file_bytes)
+        files = from_folder(spark, paths[0], None if mode == "keyword" else chunk.max_file_bytes, ignored=not args.no_ignore)
         for p in paths[1:]:
-            files = files.unionByName(from_folder(spark, p, None if mode == "keyword" else chunk.max_file_bytes))
-        if args.query in ("index", "status", "evict") and args.index:
+            files = files.unionByName(from_folder(spark, p, None if mode == "keyword" else chunk.max_file_bytes, ignored=not args.no_ignore))
+        if len(paths) == 1 and is_file(spark, paths[0]):
+            options = options.for_file()
+        if args.query in ("index", "status", "evict", "clear") and args.index:
             if args.query == "index":
-                index.build(files, options, args.index)
+                index.build(files, options, args.index, paths[0] if len(paths) == 1 else None)
             elif args.query == "evict":
-                print("\n".join(index.enforce_budget(spark, args.index)))
+                print("\n".join(index.enforce_budget(spark, args.index, args.max_bytes)))
+            elif args.query == "clear":
+                print("\n".join(index.clear(spark, args.index)))
             else:
                 outcome = index.repaired(spark, args.index, files, options, 1.0)[1]
                 print(outcome)
@@ -83,11 +90,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             return 0
         queries = spark.createDataFrame([(0, asked)], "query_id long, raw string")
         if args.index and mode != "keyword":
-            found, _ = index.search_index(spark, args.index, files, queries, options, args.write_through)
+            found, _ = index.search_index(spark, args.index, files, queries, options, args.write_through, index.TTL, paths[0] if len(paths) == 1 else None)
         else:
             found = search(files, queries, options)
-        if args.lines:
-            found = found.where(F.col("line").between(*args.lines))
         order = ["path", "line"] if mode == "keyword" else ["rank"]
         if args.count:
             shown = exact.per_file(found).orderBy("path").select(F.concat_ws(":", "path", "n").alias("value"))

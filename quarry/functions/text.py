@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 #: Where an identifier falls apart: after a lower-case letter or digit before an upper-case one, and before the last
 #: capital of an acronym that begins a word.
 _SEAM = r"(?<=[\p{Ll}0-9])(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
-_RUN = r"[\p{L}\p{N}]+"
+#: What a text with any such place matches.
+_SEAMED = r"[\p{Ll}0-9]\p{Lu}|\p{Lu}\p{Lu}\p{Ll}"
 
 #: Keywords and filler words of common languages, by category.
 KEYWORDS = frozenset("if else for while do switch case break continue return goto try catch finally throw new delete this super class struct enum union interface trait impl def fn func function let var const static public private protected void int long float double bool char string true false null none nil self import from use package module namespace extends implements".split())
@@ -28,8 +29,10 @@ def text_tokens(text: Column, whole: bool = True) -> Column:
         split = F.when(word.rlike(_SEAM), F.concat(split, F.array(word)) if whole else split).otherwise(F.array(word))
         return F.when(word == F.lower(word), F.array(word)).otherwise(split)  # without a capital there is no seam
 
-    found = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(_RUN), F.lit(0)), parts))
-    return F.transform(F.filter(found, lambda t: F.length(t) >= 2), F.lower)
+    long = lambda t: F.length(t) >= 2
+    runs = F.split(text, r"[^\p{L}\p{N}]+")
+    found = F.when(text.rlike(_SEAMED), F.flatten(F.transform(runs, parts))).otherwise(runs)
+    return F.transform(F.filter(found, long), F.lower)
 
 
 def split_camel(word: Column) -> Column:

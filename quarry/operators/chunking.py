@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.frames import held
 from quarry.sources.corpus import line_array
 
 
@@ -39,13 +40,12 @@ def _blank(body: Column) -> Column:
 
 
 def _finish(spans: DataFrame) -> DataFrame:
-    body = F.concat_ws("\n", "lines")
-    return spans.withColumn("body", body).where(~_blank(F.col("body"))).select("path", "start_line", "end_line", "body")
+    return held(spans, "body", F.concat_ws("\n", "lines")).where(~_blank(F.col("body"))).select("path", "start_line", "end_line", "body")
 
 
 def window_chunks(files: DataFrame, params: ChunkParams = ChunkParams()) -> DataFrame:
     """path, start_line, end_line, body of windows of lines; the last ends with its file, blank ones are left out."""
-    have = files.select("path", line_array(F.col("text")).alias("ls")).withColumn("n", F.size("ls")).where("n > 0")
+    have = held(files, "ls", line_array(F.col("text"))).select("path", "ls", F.size("ls").alias("n")).where("n > 0")
     st, w = params.stride, params.window
     starts = F.filter(F.sequence(F.lit(0), F.col("n") - 1, F.lit(st)), lambda a: (a == 0) | (a - st + w < F.col("n")))
     cut = have.withColumn("a", F.explode(starts))
@@ -60,7 +60,7 @@ def gap_chunks(spans: DataFrame, window: int = 32) -> DataFrame:
 
 def _spanned(files: DataFrame, cut) -> DataFrame:
     """files through cut(lines) -> [(start, end)] in 1-based lines, one file at a time."""
-    have = files.select("path", line_array(F.col("text")).alias("ls"))
+    have = held(files, "ls", line_array(F.col("text"))).select("path", "ls")
 
     def run(stream):
         for pdf in stream:

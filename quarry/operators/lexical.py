@@ -5,23 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.frames import held, settled
 from quarry.functions.text import text_tokens, under
 from quarry.operators.chunking import doc_text
 
 K1, B = 1.2, 0.75
 KEY = ["path", "start_line"]
 #: Extensions of data and prose files, which expansions don't learn from.
-NOT_MINABLE = ["md", "markdown", "rst", "txt", "adoc", "json", "jsonl", "yaml", "yml", "toml", "lock", "csv", "tsv", "xml", "html", "svg", "ini", "cfg", "conf", "properties", "log", "po", "pot", "snap"]
+NOT_MINABLE = ["json", "yml", "yaml", "toml", "ini", "cfg", "conf", "properties", "csv", "tsv", "md", "rst", "txt", "po", "pot", "lock", "sum", "html", "htm", "xml", "svg", "map", "snap", "log"]
 
 
 def chunk_tokens(chunks: DataFrame) -> DataFrame:
     """The chunks with all their tokens as one array, computed once."""
-    return chunks.select(*KEY, "end_line", text_tokens(doc_text(F.col("path"), F.col("body"))).alias("tokens"))
+    return held(chunks, "tokens", text_tokens(doc_text(F.col("path"), F.col("body")))).select(*KEY, "end_line", "tokens")
 
 
-def chunk_terms(tokens: DataFrame) -> DataFrame:
-    """path, start_line, dl, term, tf: term frequencies, saturated at 65,535, and the chunk's length in tokens."""
+def chunk_terms(tokens: DataFrame, wanted: DataFrame | None = None, few: list[str] | None = None) -> DataFrame:
+    """path, start_line, dl, term, tf: term frequencies, saturated at 65,535, and the chunk's length in tokens. wanted
+    (term, distinct), or few, its values, keeps these terms alone before anything is shuffled."""
     one = tokens.select(*KEY, F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+    if few is not None:
+        one = one.where(F.col("term").isin(few))
+    elif wanted is not None:
+        one = one.join(wanted, "term", "left_semi")
     return one.groupBy(*KEY, "dl", "term").agg(F.least(F.count("*"), F.lit(65535)).cast("int").alias("tf"))
 
 
@@ -29,10 +35,18 @@ def term_stats(terms: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def _averaged(counts: DataFrame) -> DataFrame:
+    mean = F.when(F.col("n_docs") > 0, F.col("total_len") / F.greatest("n_docs", F.lit(1))).otherwise(F.lit(1.0))
+    return counts.withColumn("avgdl", F.greatest(mean, F.lit(1.0)))
+
+
+def corpus_counts(tokens: DataFrame) -> DataFrame:
+    return tokens.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.size("tokens").cast("long")), F.lit(0)).alias("total_len"))
+
+
 def corpus_stats(tokens: DataFrame) -> DataFrame:
     """One row: n_docs, total_len, avgdl (at least 1)."""
-    out = tokens.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.size("tokens").cast("long")), F.lit(0)).alias("total_len"))
-    return out.withColumn("avgdl", F.greatest(F.when(F.col("n_docs") > 0, F.col("total_len") / F.greatest("n_docs", F.lit(1))).otherwise(F.lit(1.0)), F.lit(1.0)))
+    return _averaged(corpus_counts(tokens))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -44,14 +58,51 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(text_tokens(F.col("phrase"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").cast("double").alias("weight"))
 
 
-def scored(terms: DataFrame, stats: DataFrame, corpus: DataFrame, wanted: DataFrame, prefix: str = "") -> DataFrame:
+#: Terms that are looked up as values, not by a join.
+MANY = 1000
+
+
+class Store:
+    """Term statistics of a corpus: counted from its tokens, or read from the postings of an index.
+
+    Only the rows of terms that somebody asks for leave the scan; how common a term is follows from those rows alone.
+    """
+
+    def __init__(self, tokens: DataFrame, postings: DataFrame | None = None, stats: DataFrame | None = None):
+        self.tokens, self.postings, self.stats = tokens, postings, stats
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """path, start_line, dl, term, tf of the wanted terms (column term). Their number decides how they are looked
+        up: while they are few as values, which prune the row groups of postings, beyond that by a semi join."""
+        wanted = settled(wanted.select("term").distinct(), MANY)
+        few = [r.term for r in wanted.limit(MANY + 1).collect()]
+        if self.postings is None:
+            return chunk_terms(self.tokens, wanted, few if len(few) <= MANY else None)
+        return self.postings.where(F.col("term").isin(few)) if len(few) <= MANY else self.postings.join(wanted, "term", "left_semi")
+
+    def held_by(self, keys: DataFrame, on: list[str]) -> DataFrame:
+        """path, start_line, dl, term, tf of every term of the chunks or files that keys names: a bounded head."""
+        return chunk_terms(self.tokens.join(keys.select(*on).distinct(), on, "left_semi"))
+
+    def corpus(self) -> DataFrame:
+        """One row, counted once."""
+        if self.stats is None:
+            self.stats = settled(corpus_counts(self.tokens))
+        return _averaged(self.stats)
+
+
+def store(tokens: DataFrame | Store) -> Store:
+    return tokens if isinstance(tokens, Store) else Store(tokens)
+
+
+def scored(hits: DataFrame, stats: DataFrame, corpus: DataFrame, wanted: DataFrame, prefix: str = "") -> DataFrame:
     """query_id, path, start_line, score of every chunk that shares a term with a query.
 
     wanted (query_id, term, weight) is the small side of a stated set of queries and is left to Spark to broadcast by
     its size. Scope is applied to postings, after the statistics: they stay those of the whole corpus.
     """
     rated = wanted.join(stats, "term")
-    hits = terms.where(under(F.col("path"), prefix)) if prefix else terms
+    hits = hits.where(under(F.col("path"), prefix)) if prefix else hits
     joined = hits.join(rated, "term").crossJoin(F.broadcast(corpus))  # corpus: one row
     tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
     part = F.col("weight") * idf(F.col("n_docs"), F.col("df")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
@@ -65,69 +116,81 @@ def ranked(rows: DataFrame, k: int, *order: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25(tokens: DataFrame, queries: DataFrame, k: int = 128, prefix: str = "", weighted: DataFrame | None = None, base: DataFrame | None = None) -> DataFrame:
+def bm25(tokens: DataFrame | Store, queries: DataFrame, k: int = 128, prefix: str = "", weighted: DataFrame | None = None, base: DataFrame | None = None) -> DataFrame:
     """query_id, rank, path, start_line, score.
 
     weighted (query_id, term, weight) replaces the queries' own terms. base holds the tokens of another store whose
     statistics count too: the ranking of a delta as if both were one index.
     """
-    terms = chunk_terms(tokens)
-    counted = tokens if base is None else tokens.unionByName(base)
-    stats = term_stats(terms if base is None else chunk_terms(counted))
-    return ranked(scored(terms, stats, corpus_stats(counted), query_terms(queries) if weighted is None else weighted, prefix), k)
-
-
-def prf_terms(tokens: DataFrame, queries: DataFrame, n: int = 5, feedback: int = 10) -> DataFrame:
+    here = store(tokens)
+    wanted = settled(query_terms(queries) if weighted is None else weighted)
+    hits = here.of(wanted)
+    if base is None:
+        return ranked(scored(hits, term_stats(hits), here.corpus(), wanted, prefix), k)
+    there = store(base)
+    stats = term_stats(hits.unionByName(there.of(wanted)))
+    both = here.corpus().select("n_docs", "total_len").unionByName(there.corpus().select("n_docs", "total_len"))
+    corpus = _averaged(both.agg(F.sum("n_docs").alias("n_docs"), F.sum("total_len").alias("total_len")))
+    return ranked(scored(hits, stats, corpus, wanted, prefix), k)
+
+
+def prf_terms(tokens: DataFrame | Store, queries: DataFrame, n: int = 5, feedback: int = 10) -> DataFrame:
     """query_id, term, score: the n terms of the first hits that tell most, none of the query's own and none under
     three bytes."""
-    top = bm25(tokens, queries, feedback)
-    terms = chunk_terms(tokens)
-    counted = terms.join(top.select("query_id", *KEY), KEY).groupBy("query_id", "term").agg(F.sum("tf").alias("tf"))
-    fresh = counted.where(F.octet_length("term") >= 3).join(query_terms(queries), ["query_id", "term"], "left_anti")
-    rated = fresh.join(term_stats(terms), "term").crossJoin(F.broadcast(corpus_stats(tokens)))
+    here = store(tokens)
+    top = settled(bm25(here, queries, feedback).select("query_id", *KEY))
+    counted = here.held_by(top, KEY).join(top, KEY).groupBy("query_id", "term").agg(F.sum("tf").alias("tf"))
+    fresh = settled(counted.where(F.octet_length("term") >= 3).join(query_terms(queries), ["query_id", "term"], "left_anti"))
+    rated = fresh.join(term_stats(here.of(fresh)), "term").crossJoin(F.broadcast(here.corpus()))
     rated = rated.withColumn("score", F.col("tf") * idf(F.col("n_docs"), F.col("df")))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "term")
     return rated.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("query_id", "rank", "term", "score")
 
 
-def prf(tokens: DataFrame, queries: DataFrame, n: int = 5, k: int = 128) -> DataFrame:
+def prf(tokens: DataFrame | Store, queries: DataFrame, n: int = 5, k: int = 128, prefix: str = "") -> DataFrame:
     """A second pass with the feedback terms added to each query."""
     more = prf_terms(tokens, queries, n).select("query_id", "term", F.lit(1.0).alias("weight"))
-    return bm25(tokens, queries, k, weighted=query_terms(queries).unionByName(more))
+    return bm25(tokens, queries, k, prefix, weighted=query_terms(queries).unionByName(more))
 
 
 def minable(path: Column) -> Column:
-    extension = F.lower(F.substring_index(F.substring_index(path, "/", -1), ".", -1))
-    return ~F.substring_index(path, "/", -1).contains(".") | ~extension.isin(NOT_MINABLE)
+    """Whether expansions learn from a path: what follows its last dot is none of the known extensions."""
+    return ~path.contains(".") | ~F.lower(F.substring_index(path, ".", -1)).isin(NOT_MINABLE)
+
 
+def _rare(corpus: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows (with df) whose terms at most a fifth of all chunks hold, or eight."""
+    return rows.crossJoin(F.broadcast(corpus)).where(F.col("df") <= F.greatest(F.floor(F.col("n_docs") * 0.2), F.lit(8)))
 
-def bridge_files(tokens: DataFrame, queries: DataFrame, files: int = 5, every: bool = False) -> DataFrame:
+
+def bridge_files(tokens: DataFrame | Store, queries: DataFrame, files: int = 5, every: bool = False) -> DataFrame:
     """query_id, path, score: files that hold at least two different query terms that are not too common; every
     counts files of all kinds, not only those that expansions learn from."""
-    terms, corpus = chunk_terms(tokens), corpus_stats(tokens)
-    ceiling = F.greatest(F.floor(F.col("n_docs") * 0.2), F.lit(8))
-    rare = query_terms(queries).join(term_stats(terms), "term").crossJoin(F.broadcast(corpus)).where(F.col("df") <= ceiling)
+    here = store(tokens)
+    asked = settled(query_terms(queries))
+    hits = here.of(asked)
+    rare = _rare(here.corpus(), asked.join(term_stats(hits), "term"))
     enough = rare.groupBy("query_id").agg(F.count("*").alias("n")).where("n >= 2").select("query_id")
     rare = rare.join(enough, "query_id").select("query_id", "term", F.log(F.col("n_docs") / F.col("df")).alias("w"))
-    found = terms.join(rare, "term").select("query_id", "path", "term", "w").distinct()
-    held = found.groupBy("query_id", "path").agg(F.count("*").alias("n"), F.sum("w").alias("score")).where("n >= 2")
-    held = held if every else held.where(minable(F.col("path")))
+    hits = hits if every else hits.where(minable(F.col("path")))
+    found = hits.join(rare, "term").select("query_id", "path", "term", "w").distinct()
+    both = found.groupBy("query_id", "path").agg(F.count("*").alias("n"), F.sum("w").alias("score")).where("n >= 2")
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "path")
-    return held.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= files).select("query_id", "rank", "path", "score")
+    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= files).select("query_id", "rank", "path", "score")
 
 
-def bridge_terms(tokens: DataFrame, queries: DataFrame, n: int = 5, files: int = 5, every: bool = False) -> DataFrame:
+def bridge_terms(tokens: DataFrame | Store, queries: DataFrame, n: int = 5, files: int = 5, every: bool = False) -> DataFrame:
     """query_id, rank, term, score: rare terms that at least two bridge files share."""
-    terms, corpus = chunk_terms(tokens), corpus_stats(tokens)
-    near = bridge_files(tokens, queries, files, every).select("query_id", "path")
-    held = terms.join(near, "path").where(F.octet_length("term") >= 3).groupBy("query_id", "term").agg(F.count_distinct("path").alias("n_files")).where("n_files >= 2")
-    held = held.join(query_terms(queries), ["query_id", "term"], "left_anti").join(term_stats(terms), "term").crossJoin(F.broadcast(corpus))
-    held = held.where(F.col("df") <= F.greatest(F.floor(F.col("n_docs") * 0.2), F.lit(8))).withColumn("score", F.col("n_files") * F.log(F.col("n_docs") / F.col("df")))
+    here = store(tokens)
+    near = settled(bridge_files(here, queries, files, every).select("query_id", "path"))
+    terms = here.held_by(near, ["path"]).join(near, "path").where(F.octet_length("term") >= 3).groupBy("query_id", "term").agg(F.count_distinct("path").alias("n_files")).where("n_files >= 2")
+    terms = settled(terms.join(query_terms(queries), ["query_id", "term"], "left_anti"))
+    rated = _rare(here.corpus(), terms.join(term_stats(here.of(terms)), "term")).withColumn("score", F.col("n_files") * F.log(F.col("n_docs") / F.col("df")))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "term")
-    return held.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("query_id", "rank", "term", "score")
+    return rated.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("query_id", "rank", "term", "score")
 
 
-def bridge(tokens: DataFrame, queries: DataFrame, n: int = 5, weight: float = 0.4, k: int = 128) -> DataFrame:
+def bridge(tokens: DataFrame | Store, queries: DataFrame, n: int = 5, weight: float = 0.4, k: int = 128, prefix: str = "") -> DataFrame:
     """BM25 with the bridge terms added at a lower weight."""
     more = bridge_terms(tokens, queries, n).select("query_id", "term", F.lit(weight).alias("weight"))
-    return bm25(tokens, queries, k, weighted=query_terms(queries).unionByName(more))
+    return bm25(tokens, queries, k, prefix, weighted=query_terms(queries).unionByName(more))

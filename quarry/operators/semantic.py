@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.frames import held
 from quarry.functions.text import text_tokens
 from quarry.functions.vectors import cosine_distance, dot, min_max, norm, normalize, quantize, quantized_distance
-from quarry.operators.lexical import KEY
+from quarry.operators.lexical import KEY, idf
 
 DIMS = 32
 
@@ -43,8 +47,50 @@ def sif_weights(stats: DataFrame, a: float = 1e-3) -> DataFrame:
     return stats.crossJoin(F.broadcast(total)).select("term", (F.lit(a) / (F.lit(a) + F.col("freq") / F.col("total"))).alias("w"))
 
 
-def pooled(tokens: DataFrame, vectors: DataFrame, weights: DataFrame | None = None, key: list[str] | None = None, dims: int = DIMS) -> DataFrame:
-    """key, v: the (weighted) mean of token vectors at length one; rows without a known token get zeros.
+def idf_weights(stats: DataFrame, n_docs: int) -> DataFrame:
+    """term, w: the curve of BM25 over the files that hold a term."""
+    return stats.select("term", idf(F.lit(float(n_docs)), F.col("df")).alias("w"))
+
+
+@dataclass(frozen=True)
+class Weights:
+    """What weighs tokens: term, w of the terms that are known, the weight of any other, and the mean that all pooled
+    vectors share, or None."""
+
+    table: DataFrame
+    unseen: float = 1.0
+    mean: tuple[float, ...] | None = None
+
+
+#: Files whose first chunk shapes the common component.
+SAMPLE = 512
+
+
+def common_component(tokens: DataFrame, weights: Weights, dims: int = 32) -> tuple[float, ...] | None:
+    """The mean weighted vector of the first chunks of at most SAMPLE files, those with the least hash of their path:
+    a fixed sample, whose bound is this parameter. None without files."""
+    first = tokens.groupBy("path").agg(F.min("start_line").alias("start_line"), F.min_by("tokens", "start_line").alias("tokens"))
+    sample = first.orderBy(F.xxhash64("path"), "path").limit(SAMPLE)
+    terms = sample.select(F.explode("tokens").alias("term"))
+    v = pooled(sample, term_vectors(terms, dims), weights, dims=dims, unit=False)
+    row = v.agg(*[F.avg(F.get("v", F.lit(d))).alias(f"m{d}") for d in range(dims)]).first()
+    return None if row.m0 is None else tuple(row)
+
+
+def weights_of(tokens: DataFrame, by_idf: bool = False, centred: bool = False, dims: int = 32) -> Weights:
+    """The weights of a corpus. A term that it does not hold weighs as much as any can."""
+    stats = sif_terms(tokens)
+    if by_idf:
+        n = max(tokens.select("path").distinct().count(), 1)
+        found = Weights(idf_weights(stats, n), math.log((n + 0.5) / 0.5 + 1))
+    else:
+        found = Weights(sif_weights(stats))
+    return replace(found, mean=common_component(tokens, found, dims)) if centred else found
+
+
+def pooled(tokens: DataFrame, vectors: DataFrame, weights: Weights | None = None, key: list[str] | None = None, dims: int = DIMS, unit: bool = True) -> DataFrame:
+    """key, v: the (weighted) mean of token vectors, less the common component if there is one, at length one; rows
+    without a known token get zeros. unit=False leaves the length.
 
     Sums run by component with partial aggregation, so a row's tokens never meet in one place as vectors.
     """
@@ -52,19 +98,21 @@ def pooled(tokens: DataFrame, vectors: DataFrame, weights: DataFrame | None = No
     counted = tokens.select(*key, F.explode("tokens").alias("term")).groupBy(*key, "term").agg(F.count("*").cast("double").alias("n"))
     joined = counted.join(vectors, "term")
     if weights is not None:
-        joined = joined.join(weights, "term").withColumn("n", F.col("n") * F.col("w"))
+        joined = joined.join(weights.table, "term", "left").withColumn("n", F.col("n") * F.coalesce("w", F.lit(weights.unseen)))
     sums = joined.groupBy(*key).agg(*[F.sum(F.col("n") * F.get("v", F.lit(d))).alias(f"_{d}") for d in range(dims)], F.sum("n").alias("_n"))
-    sums = sums.select(*key, normalize(F.array(*[F.col(f"_{d}") / F.col("_n") for d in range(dims)])).alias("v"))
+    mean = weights.mean if weights is not None and weights.mean else (0.0,) * dims
+    v = F.array(*[F.col(f"_{d}") / F.col("_n") - F.lit(float(mean[d])) for d in range(dims)])
+    sums = held(sums, "v", v).select(*key, (normalize(F.col("v")) if unit else F.col("v")).alias("v"))
     zeros = F.array_repeat(F.lit(0.0), dims)
     return tokens.select(*key).distinct().join(sums, key, "left").withColumn("v", F.coalesce("v", zeros))
 
 
-def chunk_vectors(tokens: DataFrame, vectors: DataFrame, weights: DataFrame | None = None, dims: int = DIMS) -> DataFrame:
+def chunk_vectors(tokens: DataFrame, vectors: DataFrame, weights: Weights | None = None, dims: int = DIMS) -> DataFrame:
     """path, start_line, q: pooled vectors as bytes, a quarter of the size of floats."""
     return pooled(tokens, vectors, weights, dims=dims).select(*KEY, quantize(F.col("v")).alias("q"))
 
 
-def query_vectors(queries: DataFrame, weights: DataFrame | None = None, dims: int = DIMS) -> DataFrame:
+def query_vectors(queries: DataFrame, weights: Weights | None = None, dims: int = DIMS) -> DataFrame:
     """query_id, q of each phrase, in the same space."""
     tokens = queries.select("query_id", text_tokens(F.col("phrase")).alias("tokens"))
     terms = tokens.select(F.explode("tokens").alias("term"))
@@ -88,7 +136,7 @@ def nearest_exact(vectors: DataFrame, queries: DataFrame, k: int, key: list[str]
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def max_sim(candidates: DataFrame, tokens: DataFrame, queries: DataFrame, weights: DataFrame | None = None, dims: int = DIMS) -> DataFrame:
+def max_sim(candidates: DataFrame, tokens: DataFrame, queries: DataFrame, weights: Weights | None = None, dims: int = DIMS) -> DataFrame:
     """query_id, path, start_line, sim: for each query token the best dot product with a token of the chunk, summed by
     weight. candidates (query_id, path, start_line) is a bounded head of a ranking; null where nothing can be scored."""
     head = candidates.join(tokens.select(*KEY, F.array_distinct("tokens").alias("tokens")), KEY)
@@ -100,12 +148,12 @@ def max_sim(candidates: DataFrame, tokens: DataFrame, queries: DataFrame, weight
     both = theirs.join(mine, "query_id").join(sims, ["qt", "term"])
     best = both.groupBy("query_id", *KEY, "qt").agg(F.max("s").alias("s"))
     if weights is not None:
-        best = best.join(weights.withColumnRenamed("term", "qt"), "qt", "left").withColumn("s", F.col("s") * F.coalesce("w", F.lit(1.0)))
+        best = best.join(weights.table.withColumnRenamed("term", "qt"), "qt", "left").withColumn("s", F.col("s") * F.coalesce("w", F.lit(weights.unseen)))
     sims = best.groupBy("query_id", *KEY).agg(F.sum("s").alias("sim"))
     return candidates.join(sims, ["query_id", *KEY], "left")
 
 
-def max_sim_rerank(ranking: DataFrame, tokens: DataFrame, queries: DataFrame, k: int, pool: int | None = None, alpha: float = 0.5, weights: DataFrame | None = None, dims: int = DIMS) -> DataFrame:
+def max_sim_rerank(ranking: DataFrame, tokens: DataFrame, queries: DataFrame, k: int, pool: int | None = None, alpha: float = 0.5, weights: Weights | None = None, dims: int = DIMS) -> DataFrame:
     """A ranking by distance whose head of max(3k, 96), or pool, is reordered by a blend of late interaction and the
     distance, both on 0..1. Rows that can't be scored follow the head; the tail keeps its distances."""
     size = pool or max(3 * k, 96)

@@ -6,19 +6,28 @@ driver's own disk.
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 import time
 import uuid
-from dataclasses import asdict
+from dataclasses import asdict, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.frames import settled
 from quarry.operators import drift, lexical, semantic
 from quarry.operators.chunking import chunks
 from quarry.plans.search import SearchOptions, Tables, search_tables
 
-VERSION = 1
+VERSION = 2
+TABLES = ("files", "chunks", "tokens", "postings", "vectors", "stats", "meta")
+#: What an index must share with a search besides its parameters.
+GENERATION = hashlib.sha256(f"{VERSION}/{semantic.DIMS}/md5".encode()).hexdigest()[:16]
+#: Seconds for which an index found unchanged is not compared with its files again.
+TTL = 60
 
 
 def _fs(spark: SparkSession, path: str):
@@ -36,8 +45,9 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(place, True)
 
 
-def write_tables(files: DataFrame, options: SearchOptions, path: str) -> None:
-    """files, chunks, postings (by term, so a term's rows lie in few row groups) and vectors of a corpus."""
+def write_tables(files: DataFrame, options: SearchOptions, path: str) -> dict:
+    """files, chunks, tokens, postings (sorted by term, so a term's rows lie in few row groups), stats and vectors of a
+    corpus, and the weights of terms where options weigh them; what the meta row keeps of the weights."""
     files.select("path", "size", "mtime", "text").write.parquet(f"{path}/files")
     spark = files.sparkSession
     files = spark.read.parquet(f"{path}/files")
@@ -45,18 +55,26 @@ def write_tables(files: DataFrame, options: SearchOptions, path: str) -> None:
     cut = spark.read.parquet(f"{path}/chunks")
     lexical.chunk_tokens(cut).write.parquet(f"{path}/tokens")
     tokens = spark.read.parquet(f"{path}/tokens")
-    lexical.chunk_terms(tokens).repartition("term").sortWithinPartitions("term", *lexical.KEY).write.parquet(f"{path}/postings")
+    lexical.chunk_terms(tokens).repartitionByRange("term").sortWithinPartitions("term", *lexical.KEY).write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+    lexical.corpus_counts(tokens).coalesce(1).write.parquet(f"{path}/stats")
+    weights = None
+    if options.sif:
+        weights = semantic.weights_of(tokens, options.sif_idf, options.sif_center)
+        weights.table.write.parquet(f"{path}/weights")
+        weights = replace(weights, table=spark.read.parquet(f"{path}/weights"))
     terms = tokens.select(F.explode("tokens").alias("term"))
-    semantic.chunk_vectors(tokens, semantic.term_vectors(terms)).write.parquet(f"{path}/vectors")
+    semantic.chunk_vectors(tokens, semantic.term_vectors(terms), weights).write.parquet(f"{path}/vectors")
+    return {"unseen": weights.unseen, "mean": weights.mean} if weights else {}
 
 
-def build(files: DataFrame, options: SearchOptions, path: str) -> None:
-    """Writes an index next to its place and moves it there; a failure leaves what was there before."""
+def build(files: DataFrame, options: SearchOptions, path: str, root: str | None = None) -> None:
+    """Writes an index next to its place and moves it there; a failure leaves what was there before. root is the folder
+    that the corpus was read from, if any: without it an index is never taken for dead."""
     spark = files.sparkSession
     stage, old = f"{path}.building-{uuid.uuid4().hex}", f"{path}.trash-{uuid.uuid4().hex}"
-    write_tables(files, options, stage)
-    meta = {"version": VERSION, "tag": options.chunk.tag, "params": asdict(options.chunk), "dims": semantic.DIMS, "written": int(time.time())}
-    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{stage}/meta")
+    weighed = write_tables(files, options, stage)
+    row = {"version": VERSION, "generation": GENERATION, "tag": options.chunk.tag, "params": asdict(options.chunk), "dims": semantic.DIMS, "weighting": options.weighting, "weighed": weighed, "root": root, "written": int(time.time())}
+    spark.createDataFrame([(json.dumps(row),)], "value string").coalesce(1).write.text(f"{stage}/meta")
     fs, place = _fs(spark, path)
     had = fs.exists(place)
     if had:
@@ -70,78 +88,191 @@ def build(files: DataFrame, options: SearchOptions, path: str) -> None:
 
 
 def meta(spark: SparkSession, path: str) -> dict | None:
-    """The meta row, or None if the index is missing or unfinished."""
+    """The meta row; None if the folder is missing or unfinished, or holds no index of ours."""
     if not exists(spark, f"{path}/meta/_SUCCESS"):
         return None
-    return json.loads(spark.read.text(f"{path}/meta").first().value)
+    row = spark.read.text(f"{path}/meta").first()
+    try:
+        found = json.loads(row.value) if row else None
+    except ValueError:
+        return None
+    return found if isinstance(found, dict) and {"version", "tag", "written"} <= set(found) else None
 
 
 def load(spark: SparkSession, path: str, options: SearchOptions) -> Tables | None:
-    """The tables of an index with these parameters; None if there is none that fits."""
+    """The tables of an index with these parameters; None if there is none that fits, or one of its tables is gone or
+    unreadable."""
     found = meta(spark, path)
-    if found is None or found["version"] != VERSION or found["tag"] != options.chunk.tag or found["dims"] != semantic.DIMS:
+    if found is None or found.get("generation") != GENERATION or found["tag"] != options.chunk.tag or found["weighting"] != options.weighting:
         return None
     read = lambda name: spark.read.parquet(f"{path}/{name}")
-    return Tables(read("chunks"), read("tokens"), read("vectors"))
+    try:
+        weights = semantic.Weights(read("weights"), found["weighed"]["unseen"], found["weighed"]["mean"]) if options.sif else None
+        terms = lexical.Store(read("tokens"), read("postings"), read("stats"))
+        return Tables(read("chunks"), terms.tokens, read("vectors"), weights, terms)
+    except AnalysisException:
+        return None
 
 
 def files_of(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/files")
 
 
-def repaired(spark: SparkSession, path: str, live: DataFrame, options: SearchOptions, max_drift: float = drift.MAX_DRIFT) -> tuple[Tables | None, str]:
+def _touch(spark: SparkSession, path: str) -> None:
+    fs, place = _fs(spark, f"{path}/_validated")
+    fs.create(place, True).close()
+
+
+def validated(spark: SparkSession, path: str, ttl: int = TTL) -> bool:
+    """Whether the index was found unchanged less than ttl seconds ago."""
+    fs, place = _fs(spark, f"{path}/_validated")
+    return fs.exists(place) and time.time() - fs.getFileStatus(place).getModificationTime() / 1000 < ttl
+
+
+def repaired(spark: SparkSession, path: str, live: DataFrame, options: SearchOptions, max_drift: float = drift.MAX_DRIFT, ttl: int = 0) -> tuple[Tables | None, str]:
     """(tables, outcome): the index with changed files taken in, as if rebuilt. outcome is missing, no drift, repaired
-    or drift too large; only for the last are there no tables, and a build is due."""
+    or drift too large; only for the last are there no tables, and a build is due. An index found unchanged within the
+    last ttl seconds is taken for unchanged."""
     base = load(spark, path, options)
     if base is None:
         return None, "missing"
+    if ttl and validated(spark, path, ttl):
+        return base, "no drift"
     indexed = files_of(spark, path)
-    changes = drift.diff(indexed, live).persist()
-    try:
-        row = drift.drift_ratio(changes, indexed, live).first()
-        if not row.dirty:
-            return base, "no drift"
-        if row.ratio > max_drift:
-            return None, "drift too large"
-        cut = chunks(drift.delta_files(live, changes), options.chunk)
-        tokens = lexical.chunk_tokens(cut)
-        vectors = semantic.chunk_vectors(tokens, semantic.term_vectors(tokens.select(F.explode("tokens").alias("term"))))
-        return Tables(drift.overlay(base.chunks, cut, changes), drift.overlay(base.tokens, tokens, changes), drift.overlay(base.vectors, vectors, changes)), "repaired"
-    finally:
-        changes.unpersist()
-
-
-def search_index(spark: SparkSession, path: str, live: DataFrame, queries: DataFrame, options: SearchOptions, write_through: bool = False) -> tuple[DataFrame, str]:
-    """(hits, how): warm if the index serves, repaired or rebuilt if it had to be; cold over the files otherwise."""
+    changes = settled(drift.diff(indexed, live))
+    row = drift.drift_ratio(changes, indexed, live).first()
+    if not row.dirty:
+        _touch(spark, path)
+        return base, "no drift"
+    if row.ratio > max_drift:
+        return None, "drift too large"
+    cut = chunks(drift.delta_files(live, changes), options.chunk)
+    tokens = lexical.chunk_tokens(cut)
+    vectors = semantic.chunk_vectors(tokens, semantic.term_vectors(tokens.select(F.explode("tokens").alias("term"))), base.weights)
+    every = drift.overlay(base.tokens, tokens, changes)
+    postings = drift.overlay(base.terms.postings, lexical.chunk_terms(tokens).select(base.terms.postings.columns), changes)
+    terms = lexical.Store(every, postings, settled(lexical.corpus_counts(every)))
+    return Tables(drift.overlay(base.chunks, cut, changes), every, drift.overlay(base.vectors, vectors, changes), base.weights, terms), "repaired"
+
+
+def search_index(spark: SparkSession, path: str, live: DataFrame, queries: DataFrame, options: SearchOptions, write_through: bool = False, ttl: int = 0, root: str | None = None) -> tuple[DataFrame, str]:
+    """(hits, how): warm if the index serves, repaired or rebuilt if it had to be; cold over the files otherwise. An index
+    that can't be read is dropped, and counts as missing."""
     from quarry.plans.search import tables
 
-    found, outcome = repaired(spark, path, live, options)
+    if meta(spark, path) is not None and meta(spark, path).get("generation") == GENERATION and damaged(spark, path):
+        delete(spark, path)
+    found, outcome = repaired(spark, path, live, options, ttl=ttl)
     if found is not None:
         return search_tables(found, queries, options), "warm" if outcome == "no drift" else outcome
     if write_through or outcome == "drift too large":
-        build(live, options, path)
+        build(live, options, path, root)
         return search_tables(load(spark, path, options), queries, options), "rebuilt" if outcome == "drift too large" else "written through"
     return search_tables(tables(live, options), queries, options), "cold"
 
 
-def registry(spark: SparkSession, folder: str) -> DataFrame:
-    """dir, bytes, age, dead, protected of the indexes in a folder, unfinished ones dead, as eviction takes them."""
+def damaged(spark: SparkSession, path: str) -> bool:
+    """Whether a published index lacks one of its tables, or one whose footers can't be read."""
+    for name in TABLES[:-1]:
+        try:
+            spark.read.parquet(f"{path}/{name}").limit(1).count()
+        except Exception:  # noqa: BLE001  whatever is wrong with a cache, it is a miss
+            return True
+    return False
+
+
+#: Names that only this module gives to folders: an index under construction, and one replaced.
+_OURS = re.compile(r"\.(building|trash)-[0-9a-f]{32}$")
+#: Seconds after which an unfinished folder counts as abandoned; before that it may be a build in flight.
+ABANDONED = 6 * 3600
+
+
+def registry(spark: SparkSession, folder: str, abandoned: int = ABANDONED, keep: str | None = None) -> DataFrame:
+    """dir, bytes, age, dead, protected of the indexes in a folder.
+
+    Only folders that are surely ours are listed: those with a meta row of an index, and those named as being built or
+    replaced. An index whose corpus is gone is dead, and so is an unfinished one untouched for `abandoned` seconds;
+    younger ones, and everything else in the folder, are not listed at all. keep names an index to protect.
+    """
     fs, place = _fs(spark, folder)
     rows, now = [], int(time.time())
+    kept = _fs(spark, keep)[0].makeQualified(_fs(spark, keep)[1]).toString() if keep else None
     for s in fs.listStatus(place) if fs.exists(place) else []:
-        name = s.getPath().toString()
-        found = meta(spark, name)
+        if not s.isDirectory() or s.isSymlink():
+            continue
+        name, still = s.getPath().toString(), now - s.getModificationTime() // 1000
+        ours, found = bool(_OURS.search(name)), meta(spark, name)
+        if found is None and (not ours or still < abandoned):
+            continue
+        gone = found is not None and found.get("root") is not None and not exists(spark, found["root"])
+        dead = gone or ours and still >= abandoned
+        if ours and not dead:
+            continue
         size = fs.getContentSummary(s.getPath()).getLength()
-        rows.append((name, size, now - found["written"] if found else 0, found is None, False))
+        rows.append((name, size, now - found["written"] if found else still, dead, name == kept))
     return spark.createDataFrame(rows, "dir string, bytes long, age long, dead boolean, protected boolean")
 
 
-def enforce_budget(spark: SparkSession, folder: str, most: int = 2 << 30) -> list[str]:
+def enforce_budget(spark: SparkSession, folder: str, most: int = 2 << 30, abandoned: int = ABANDONED, keep: str | None = None) -> list[str]:
     """Drops what eviction names; a folder that can't be deleted stops it."""
     gone = []
-    for r in drift.evicted(registry(spark, folder), most).collect():  # a row for each index
+    for r in drift.evicted(registry(spark, folder, abandoned, keep), most).collect():  # a row for each index
         delete(spark, r.dir)
         if exists(spark, r.dir):
             break
         gone.append(r.dir)
     return gone
+
+
+def clear(spark: SparkSession, folder: str) -> list[str]:
+    """Drops every index in a folder, in use or not; what can't be deleted does not stop it. Other folders stay."""
+    gone = []
+    for r in registry(spark, folder, 0).collect():  # a row for each index
+        delete(spark, r.dir)
+        if not exists(spark, r.dir):
+            gone.append(r.dir)
+    return gone
+
+
+def prune(spark: SparkSession, folder: str) -> list[str]:
+    """Drops the indexes of another version or embedding, which no search can use."""
+    fs, place = _fs(spark, folder)
+    names = [s.getPath().toString() for s in (fs.listStatus(place) if fs.exists(place) else []) if s.isDirectory()]
+    old = [n for n in names if (m := meta(spark, n)) is not None and m.get("generation") != GENERATION]
+    for name in old:
+        delete(spark, name)
+    return old
+
+
+def promote(spark: SparkSession, folder: str, path: str) -> list[str]:
+    """Drops the indexes in a folder whose corpus lies inside that of the index at path and that have its parameters."""
+    wide = meta(spark, path)
+    if wide is None or wide.get("root") is None:
+        return []
+    fs, place = _fs(spark, folder)
+    below, gone = wide["root"].rstrip("/") + "/", []
+    for s in fs.listStatus(place) if fs.exists(place) else []:
+        name = s.getPath().toString()
+        m = meta(spark, name) if s.isDirectory() else None
+        if m is not None and m["tag"] == wide["tag"] and m.get("generation") == wide.get("generation") and (m.get("root") or "").startswith(below):
+            delete(spark, name)
+            gone.append(name)
+    return gone
+
+
+def in_tree(spark: SparkSession, root: str) -> list[str]:
+    """The indexes that lie inside a tree of files: folders .quarry, and what unfinished builds left beside them, that
+    hold a table of ours. .git and links are not entered, nor is an index once found."""
+    fs, place = _fs(spark, root)
+    found, todo = [], [place]
+    while todo:
+        for s in fs.listStatus(todo.pop()):
+            name = s.getPath().getName()
+            if not s.isDirectory() or s.isSymlink() or name == ".git":
+                continue
+            if name == ".quarry" or name.startswith(".quarry.") and _OURS.search(name):
+                if any(exists(spark, f"{s.getPath().toString()}/{t}") for t in TABLES):
+                    found.append(s.getPath().toString())
+                continue
+            todo.append(s.getPath())
+    return sorted(found)

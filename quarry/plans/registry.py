@@ -340,7 +340,7 @@ def _pool_sql(weight: str, join: str) -> str:
 
 def _pooled(spark, sf_dir, weighted: bool):
     every = tokens(spark, sf_dir)
-    weights = semantic.sif_weights(semantic.sif_terms(every)) if weighted else None
+    weights = semantic.weights_of(every) if weighted else None
     v = semantic.pooled(every, semantic.term_vectors(every.select(F.explode("tokens").alias("term"))), weights)
     return v.select(*KEY, *[F.round(F.get("v", F.lit(d)), 6).alias(f"v{d}") for d in range(4)])
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.text import glob_match, under
+from quarry.functions.text import glob_match, glob_pattern, under
 
 MAX_FILE_BYTES = 4 << 20
 #: Folders that hold an index, at the top of a corpus.
@@ -38,14 +39,18 @@ def from_conversations(turns: DataFrame) -> DataFrame:
 
 
 
-def from_folder(spark: SparkSession, root: str, max_bytes: int | None = MAX_FILE_BYTES, hidden: bool = False, ignore: list[str] | None = None) -> DataFrame:
+def from_folder(spark: SparkSession, root: str, max_bytes: int | None = MAX_FILE_BYTES, hidden: bool = False, ignore: list[str] | None = None, ignored: bool = True) -> DataFrame:
     """The text files below root, with paths relative to it; root may be a file, whose path is then its name.
 
-    Files over max_bytes, binary files, hidden paths and index folders are left out, and what `ignore` globs match
-    (ignore files are read by `ignore_rules`). Listing and reading are Spark's own; ids are paths, so no order of
+    Files over max_bytes, binary files, hidden paths and index folders are left out, what `ignore` globs match, and,
+    with ignored, what .gitignore and .ignore files in the tree name: each rules its own folder, deeper ones win, and
+    .ignore wins over .gitignore. Listing and reading are Spark's own; ids are paths, so no order of
     files has to be agreed on.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    named, rules = _unlisted(spark, root, hidden) if not is_file(spark, root) else ([], {})
+    if named:
+        files = files.select("path", "modificationTime", "length", "content").unionByName(_opened(spark, named))
     if max_bytes is not None:
         files = files.where(F.col("length") <= max_bytes)
     clean = re.sub(r"^file:/*|^/+", "", root.rstrip("/"))
@@ -53,6 +58,8 @@ def from_folder(spark: SparkSession, root: str, max_bytes: int | None = MAX_FILE
     inside = F.when(full == clean, F.substring_index(full, "/", -1)).otherwise(full.substr(F.lit(len(clean) + 2), F.length(full)))
     files = files.select(inside.alias("path"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"), "content")
     files = files.where(~F.col("path").rlike(INDEX_DIR))
+    if ignored:
+        files = unignored(files, rules)
     if not hidden:
         files = files.where(~F.col("path").rlike(r"(^|/)\.[^/]"))
     if ignore:
@@ -61,12 +68,83 @@ def from_folder(spark: SparkSession, root: str, max_bytes: int | None = MAX_FILE
     return files.select("path", "size", "mtime", F.decode("content", "UTF-8").alias("text"))
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(place) and fs.getFileStatus(place).isFile()
+
+
 def ignore_rules(text: str) -> list[str]:
     """The globs of an ignore file: comments and blank lines drop; later rules win."""
     lines = (line.rstrip() for line in text.splitlines())
     return [line for line in lines if line and not line.startswith("#")]
 
 
+def _unlisted(spark: SparkSession, root: str, hidden: bool) -> tuple[list[tuple], dict[str, str]]:
+    """(files, rules): what Spark's own listing leaves out, names that begin with an underscore (or, if asked for, a
+    dot), as (path, seconds, bytes), and the texts of the tree's ignore files by path."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = fs.makeQualified(top).toString().rstrip("/")
+    files, rules, todo = [], {}, [(base, False)]
+    while todo:
+        folder, odd = todo.pop()
+        for status in fs.listStatus(jvm.org.apache.hadoop.fs.Path(folder)):
+            path, is_dir = status.getPath().toString(), status.isDirectory()
+            name = path.rpartition("/")[2]
+            if name in (".gitignore", ".ignore") and not is_dir:
+                stream = fs.open(status.getPath())
+                rules[path[len(base) + 1 :]] = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+                stream.close()
+            if name.startswith(".") and not hidden or status.isSymlink():
+                continue
+            unseen = odd or name.startswith((".", "_"))
+            if is_dir:
+                todo.append((path, unseen))
+            elif unseen:
+                files.append((path, status.getModificationTime() // 1000, status.getLen()))
+    return files, rules
+
+
+def _opened(spark: SparkSession, named: list[tuple]) -> DataFrame:
+    """The files of such names, read where the rows are."""
+
+    def read(stream):
+        from pyarrow import fs
+
+        for batch in stream:
+            for row in batch.to_pylist():
+                source, path = fs.FileSystem.from_uri(row["path"].replace("file:/", "file:///", 1) if row["path"].startswith("file:/") and not row["path"].startswith("file://") else row["path"])
+                with source.open_input_stream(path) as f:
+                    data = f.read()
+                yield pa.RecordBatch.from_pydict({"path": [row["path"]], "mtime": [row["mtime"]], "length": [row["length"]], "content": [data]}, schema=pa.schema([("path", pa.string()), ("mtime", pa.int64()), ("length", pa.int64()), ("content", pa.binary())]))
+
+    rows = spark.createDataFrame(named, "path string, mtime long, length long")
+    return rows.mapInArrow(read, "path string, mtime long, length long, content binary").select("path", F.timestamp_seconds("mtime").alias("modificationTime"), "length", "content")
+
+
+#: Rules of ignore files that a walk turns into a predicate.
+MANY_RULES = 5000
+
+
+def unignored(files: DataFrame, texts: dict[str, str]) -> DataFrame:
+    """files without what ignore files name: texts has their texts by path. One predicate; a tree with more than
+    MANY_RULES rules is an error, not a silent cut."""
+    gone, n = F.lit(False), 0
+    # outer folders first, and in each .gitignore before .ignore: what comes later decides
+    for path in sorted(texts, key=lambda p: (p.count("/"), p.rpartition("/")[0], p.rpartition("/")[2] == ".ignore")):
+        folder = path.rpartition("/")[0]
+        inside = F.col("path").startswith(folder + "/") if folder else F.lit(True)
+        below = F.col("path").substr(F.lit(len(folder) + 2), F.length("path")) if folder else F.col("path")
+        for rule in ignore_rules(texts[path]):
+            keep, pattern = glob_pattern(rule)
+            gone, n = F.when(inside & below.rlike(pattern), F.lit(keep)).otherwise(gone), n + 1
+    if n > MANY_RULES:
+        raise ValueError(f"more than {MANY_RULES} rules in ignore files")
+    return files.where(~gone) if n else files
+
+
 def scoped(files: DataFrame, prefix: str = "", paths: list[str] | None = None, globs: list[str] | None = None, max_bytes: int | None = None) -> DataFrame:
     """The files in a subtree, under any of several paths, that globs pass, and of a size. A plain predicate on path,
     which belongs below every ranking: a filter above a limit would leave narrow scopes short."""
@@ -94,9 +172,9 @@ def common_ancestor(paths: list[str]) -> str:
 
 def line_array(text: Column) -> Column:
     """The lines of a text: split on line feeds, one carriage return dropped at each end, no last empty line."""
-    parts = F.split(text, "\n")
-    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return F.transform(parts, lambda x: F.regexp_replace(x, r"\r$", ""))
+    body = F.when(text.endswith("\n"), text.substr(F.lit(1), F.length(text) - 1)).otherwise(text)
+    parts = F.split(F.when(text.contains("\r"), F.regexp_replace(body, r"\r(?=\n|\z)", "")).otherwise(body), "\n")
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(parts)
 
 
 def lines(files: DataFrame) -> DataFrame:

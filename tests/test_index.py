@@ -43,6 +43,76 @@ def test_persisted_equals_computed_and_repaired_equals_rebuilt(spark, tmp_path):
     assert [r.dead for r in index.registry(spark, str(tmp_path)).collect()] == [False]
 
 
+def test_eviction_spares_what_is_not_an_index(spark, tmp_path):
+    root = tmp_path / "tree"
+    root.mkdir()
+    (root / "a.txt").write_text("retry")
+    options = SearchOptions(mode="bm25")
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    index.build(files(spark), options, one, str(root))
+    index.build(files(spark), options, two)
+    flight = tmp_path / ("three.building-" + "0" * 32)
+    flight.mkdir()
+    (flight / "x").write_text("y")
+    assert index.enforce_budget(spark, one) == [] and index.enforce_budget(spark, str(tmp_path)) == []
+    assert index.load(spark, one, options) is not None and (root / "a.txt").exists() and flight.exists()
+    # over budget: the older of two goes, a protected one stays, and the source and the build in flight stay too
+    assert [p.rpartition("/")[2] for p in index.enforce_budget(spark, str(tmp_path), 1, keep=two)] == ["one"]
+    assert (root / "a.txt").exists() and flight.exists() and index.load(spark, two, options) is not None
+    assert [p.rpartition("/")[2] for p in index.enforce_budget(spark, str(tmp_path), 1 << 40, abandoned=0)] == [flight.name]
+    index.build(files(spark), options, one, str(tmp_path / "gone"))
+    assert [p.rpartition("/")[2] for p in index.enforce_budget(spark, str(tmp_path))] == ["one"]  # its corpus is gone
+    assert [p.rpartition("/")[2] for p in index.clear(spark, str(tmp_path))] == ["two"] and (root / "a.txt").exists()
+
+
+def test_upkeep_of_indexes(spark, tmp_path):
+    root, inner = tmp_path / "tree", tmp_path / "tree" / "src"
+    inner.mkdir(parents=True)
+    options, cache = SearchOptions(mode="bm25"), tmp_path / "cache"
+    wide, narrow, old = (str(cache / n) for n in ("wide", "narrow", "old"))
+    for path, of in ((wide, root), (narrow, inner), (old, root)):
+        index.build(files(spark), options, path, str(of))
+    index.build(files(spark), options, str(root / ".quarry"), str(root))
+    (root / ".git" / ".quarry").mkdir(parents=True)
+    assert index.in_tree(spark, str(tmp_path / "tree")) == [f"file:{root}/.quarry"]
+    assert [p.rpartition("/")[2] for p in index.promote(spark, str(cache), wide)] == ["narrow"]
+    meta = next((cache / "old" / "meta").glob("part-*"))
+    meta.write_text(meta.read_text().replace(index.GENERATION, "other"))
+    (meta.parent / f".{meta.name}.crc").unlink()
+    assert index.load(spark, old, options) is None
+    assert [p.rpartition("/")[2] for p in index.prune(spark, str(cache))] == ["old"]
+    assert not index.validated(spark, wide) and index.repaired(spark, wide, files(spark), options)[1] == "no drift" and index.validated(spark, wide)
+    assert index.repaired(spark, wide, files(spark, auth=None), options, 1.0, ttl=60)[1] == "no drift"
+    assert index.repaired(spark, wide, files(spark, auth=None), options, 1.0)[1] == "repaired"
+    import shutil
+
+    shutil.rmtree(cache / "wide" / "postings")
+    found, how = index.search_index(spark, wide, files(spark), ask(spark), options)
+    assert how == "cold" and found.count() > 0 and not index.exists(spark, wide)
+
+
+def test_weights_survive_an_index(spark, tmp_path):
+    options = SearchOptions(mode="hybrid", k=3, sif=True, sif_center=True, maxsim=True, maxsim_post=True, prf=2, bridge=2)
+    path = str(tmp_path / "idx")
+    index.build(files(spark), options, path)
+    warm, how = index.search_index(spark, path, files(spark), ask(spark), options)
+    assert how == "warm" and shape(warm) == shape(search(files(spark), ask(spark), options))
+    from dataclasses import replace
+
+    assert index.load(spark, path, replace(options, sif_idf=True)) is None
+
+
+def test_filters_after_ranking_still_fill_k(spark):
+    many = {f"f{i:02d}": "\n".join(["blank"] * (i % 2)) + "\nretry it" for i in range(30)}
+    found = search_one(spark, files(spark, **many), "retry", SearchOptions(mode="bm25", k=5, lines=(2, 2)))
+    assert [r.rank for r in found.orderBy("rank").collect()] == [1, 2, 3, 4, 5] and {r.line for r in found.collect()} == {2}
+    from quarry.plans.search import suggestion, tables
+
+    t = tables(files(spark), SearchOptions())
+    assert suggestion(files(spark), "retrying(", t).count() == 3 and suggestion(files(spark), "retrying(").count() == 0
+    assert SearchOptions(file_window=8).for_file().chunk.window == 8 and SearchOptions().for_file() == SearchOptions()
+
+
 def test_stream_keeps_an_index(spark, tmp_path):
     source, path = str(tmp_path / "in"), str(tmp_path / "idx")
     options = SearchOptions(mode="bm25", k=2)
