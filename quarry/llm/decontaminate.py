@@ -4,9 +4,8 @@ Only DataFrame functions. A document is contaminated by an item of n words if a
 weighted similarity of `similarity` or more to it: over multisets of 5-word shingles, sum of least over sum of
 greatest multiplicities. A document with fewer shingles than the item is one window, all of it. A window of w shingles
 that is similar to an item of m shares s of them with s / (m + w - s) >= similarity, so the shingles common to both,
-found by a join, name all places where a window can stand; and moving a window right past an unshared shingle never
-lowers its similarity, so windows that start on a shared one, and the last window, do.
-Each is verified exactly. The join leaves out nothing similar, so no SimHash index stands beside it: it could find no
+found by a join, name all places where a window can stand. How many count in each window follows from one sweep over the
+places, so a document costs no more than its length, whatever it repeats. The join leaves out nothing similar, so no SimHash index stands beside it: it could find no
 further window, and its radius drops similar ones (two words in turn, one shingle more of either, turn a fingerprint).
 """
 
@@ -33,12 +32,13 @@ def _held(df: DataFrame, name: str, expression: str) -> DataFrame:
     return df.withColumn(name, F.explode(F.expr(f"array({expression})")))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, broadcast_grams: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, similarity of each document and item that it holds: the best window's.
+def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, broadcast_grams: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """doc_id, h, item_id, similarity of each document (h is a digest of its text) and item that it holds: the best
+    window's.
 
     Items of under five words have one shingle, all of their words; items without a word, and null items, match
-    nothing, as do null and empty documents. Different texts of one item_id are all searched, and count as one item. Rows that share id and text count once; a null doc_id stays null. The
-    shingles of the benchmark are broadcast only while they are at most broadcast_grams rows of 40 bytes, and shuffled
+    nothing, as do null and empty documents. Different texts of one item_id are all searched, and count as one item.
+    Rows that share id and text count once; a null doc_id stays null. The shingles of the benchmark are broadcast only while they are at most broadcast_grams rows of 40 bytes, and shuffled
     beyond that. Empty tables give no row.
     """
     docs = keyed(docs, id_col, text_col)
@@ -54,22 +54,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     words = docs.select("doc_id", "h", F.expr(_WORDS).alias("ws"))
     pieces = [words.select("doc_id", "h", F.lit(k).alias("k"), F.expr(f"size(ws) - {k - 1}").alias("n"), F.posexplode(F.expr(_grams(k))).alias("pos", "g")) for k in used]
     if not pieces:
-        return docs.sparkSession.createDataFrame([], f"doc_id long, item_id {benchmark.schema[item_col].dataType.simpleString()}, similarity double")
+        return docs.sparkSession.createDataFrame([], f"doc_id long, h long, item_id {benchmark.schema[item_col].dataType.simpleString()}, similarity double")
     every = pieces[0]
     for piece in pieces[1:]:
         every = every.unionByName(piece)
     shared = every.join(small(grams), ["k", "g"])
-    places = shared.dropDuplicates(["doc_id", "h", "item_id", "t", "pos"]).groupBy("doc_id", "h", "item_id", "t", "k", "m", "n")
-    enough = f"size(places) * {1 + similarity} >= {similarity} * (m + least(m, n))"
-    places = places.agg(F.array_sort(F.collect_list(F.struct("pos", "g", "weight"))).alias("places")).where(enough)
-
-    # the windows that hold enough shared shingles
-    d = places.withColumn("w", F.least("m", "n"))
-    starts = "array_distinct(transform(places, x -> least(x.pos, n - w)))"
-    d = d.withColumn("start", F.explode(F.expr(starts)))
-    d = _held(d, "inside", "filter(places, x -> x.pos >= start AND x.pos < start + w)").where(enough.replace("places", "inside"))
-
-    # sum of least: each distinct shared shingle counts as often as window and item both hold it
-    least = "aggregate(array_distinct(transform(inside, x -> struct(x.g, x.weight))), 0L, (n, y) -> n + least(y.weight, cast(size(filter(inside, x -> x.g = y.g)) AS long)))"
-    verified = d.withColumn("s", F.expr(least)).withColumn("similarity", F.expr("s / (m + w - s)")).where(f"s * {1 + similarity} >= {similarity} * (m + w)")
-    return verified.groupBy("doc_id", "h", "item_id").agg(F.max("similarity").alias("similarity")).drop("h")
+    by = ["doc_id", "h", "item_id", "t", "k", "m", "n"]
+    # where each shared shingle stands in the document, once however often its row repeats
+    held = shared.groupBy(*by, "g", "weight").agg(F.array_sort(F.collect_set("pos")).alias("pos"))
+    places = held.groupBy(*by).agg(F.sum(F.size("pos")).alias("shared"), F.collect_list(F.struct("weight", "pos")).alias("held"))
+    places = places.withColumn("w", F.least("m", "n")).where(f"shared * {1 + similarity} >= {similarity} * (m + w)")
+
+    # A shingle that the item holds weight times counts at p in the windows that start after its weight-th last place and
+    # after p - w, up to p: an interval of starts. The best window is where most intervals meet.
+    first = "greatest(p - w, IF(i >= x.weight, get(x.pos, i - cast(x.weight AS int)), -1), -1) + 1"
+    ends = f"transform(x.pos, (p, i) -> array(struct({first} AS at, 1 AS turn), struct(least(p, n - w) + 1 AS at, -1 AS turn)))"
+    turns = f"array_sort(flatten(flatten(transform(held, x -> {ends}))))"
+    open_ = "aggregate(turns, struct(0 AS open, 0 AS most), (s, e) -> struct(s.open + e.turn AS open, greatest(s.most, s.open + e.turn) AS most), s -> s.most)"
+    counted = _held(_held(places, "turns", turns), "s", open_).where(f"s * {1 + similarity} >= {similarity} * (m + w)")
+    return counted.withColumn("similarity", F.expr("s / (m + w - s)")).groupBy("doc_id", "h", "item_id").agg(F.max("similarity").alias("similarity"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, **how) -> DataFrame:
+    """doc_id, item_id, similarity of each document and item that it holds: the best window's. See leaks."""
+    return leaks(docs, benchmark, similarity, **how).drop("h")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs, with all their columns, whose id and text hold no item."""
+    found = leaks(docs, benchmark, id_col=id_col, text_col=text_col, **how).select(F.col("doc_id").alias("i"), "h").distinct()
+    digest = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), digest.alias("digest"), F.struct("*").alias("row"))
+    return rows.join(found, rows.doc.eqNullSafe(found.i) & (rows.digest == found.h), "left_anti").select("row.*")

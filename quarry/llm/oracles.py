@@ -9,11 +9,11 @@ i AS (SELECT item_id, ws, least(len(ws), 5) AS k, greatest(len(ws) - 4, 1) AS m
 ig AS (SELECT item_id, k, m, g, count(*) AS weight FROM (SELECT item_id, k, m, unnest(list_transform(range(1, m + 1), lambda p: array_to_string(ws[p : p + k - 1], ' '))) AS g FROM i) GROUP BY ALL),
 dg AS (SELECT r, doc_id, k, len(ws) - k + 1 AS n, p - 1 AS pos, array_to_string(ws[p : p + k - 1], ' ') AS g FROM (SELECT r, doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM i) WHERE len(ws) >= k)),
 hit AS (SELECT r, doc_id, item_id, n, m, pos, g, weight FROM dg JOIN ig USING (k, g)),
-likely AS (SELECT r, item_id FROM hit GROUP BY r, item_id, m HAVING count(*) * 1.8 >= 1.6 * m),
-start AS (SELECT DISTINCT r, doc_id, item_id, m, least(pos, n - m) AS p FROM hit JOIN likely USING (r, item_id) WHERE n >= m),
-part AS (SELECT s.r, s.doc_id, s.item_id, s.m, s.p, h.g, least(count(*), any_value(h.weight)) AS c FROM start s JOIN hit h ON h.r = s.r AND h.item_id = s.item_id AND h.pos >= s.p AND h.pos < s.p + s.m GROUP BY s.r, s.doc_id, s.item_id, s.m, s.p, h.g),
-w AS (SELECT r, doc_id, item_id, m, p, sum(c)::BIGINT AS s FROM part GROUP BY ALL)
-SELECT doc_id, item_id, round(max(s / (2 * m - s)), 6) AS similarity FROM w WHERE s * 1.8 >= 1.6 * m GROUP BY r, doc_id, item_id
+likely AS (SELECT r, item_id, least(n, m) AS w FROM hit GROUP BY r, item_id, n, m HAVING count(*) * 1.8 >= 0.8 * (m + least(n, m))),
+start AS (SELECT DISTINCT r, doc_id, item_id, m, w, least(pos, n - w) AS p FROM hit JOIN likely USING (r, item_id)),
+part AS (SELECT s.r, s.doc_id, s.item_id, s.m, s.w, s.p, h.g, least(count(*), any_value(h.weight)) AS c FROM start s JOIN hit h ON h.r = s.r AND h.item_id = s.item_id AND h.pos >= s.p AND h.pos < s.p + s.w GROUP BY s.r, s.doc_id, s.item_id, s.m, s.w, s.p, h.g),
+best AS (SELECT r, doc_id, item_id, m, w, p, sum(c)::BIGINT AS s FROM part GROUP BY ALL)
+SELECT doc_id, item_id, round(max(s / (m + w - s)), 6) AS similarity FROM best WHERE s * 1.8 >= 0.8 * (m + w) GROUP BY r, doc_id, item_id
 """
 
 

@@ -1,5 +1,6 @@
 """The two operators that keep to DataFrame functions, against plain Python."""
 
+import random
 import re
 from collections import Counter
 
@@ -94,6 +95,27 @@ def test_texts_of_two_words_in_turn(spark):
     assert {(r.doc_id, r.item_id, round(r.similarity, 6)) for r in found.collect()} == want
 
 
+def test_a_text_of_one_word_costs_its_length(spark):
+    import time
+
+    item, data = "ab " * 20, [(1, "ab " * 20_000, None, None, None), (2, "ab cd " * 9_000, None, None, None), (3, "ab " * 25, None, None, None)]
+    bench = spark.createDataFrame([(1, item), (2, "ab cd " * 12)], "item_id long, text string")
+    began = time.time()
+    found = sorted((r.doc_id, r.item_id, r.similarity) for r in decontaminate.contaminated(frame(spark, data), bench).collect())
+    assert time.time() - began < 10
+    assert found == [(1, 1, 1.0), (2, 2, 1.0), (3, 1, 1.0)]
+
+
+def test_random_texts_of_few_words(spark):
+    rng = random.Random(8)
+    draw = lambda n: " ".join(rng.choice("ab") for _ in range(n))
+    data = [(i, draw(rng.randrange(3, 70)), None, None, None) for i in range(60)]
+    items = [(i, draw(rng.randrange(3, 30))) for i in range(12)]
+    found = decontaminate.contaminated(frame(spark, data), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute(data, items) | brute_short(data, items)
+    assert {(r.doc_id, r.item_id, round(r.similarity, 6)) for r in found.collect()} == want and len(want) > 30
+
+
 def test_texts_that_share_an_item_id(spark):
     texts = [" ".join(f"t{t}w{i}" for i in range(20)) for t in range(6)]
     data = [(i, "pre " + t, None, None, None) for i, t in enumerate(texts)] + [(9, texts[0].replace("t0w19", "x") + " " + texts[1], None, None, None)]
