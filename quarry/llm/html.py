@@ -22,10 +22,13 @@ from pyspark.sql import functions as F
 from quarry.llm.gbt import Forest, fit
 
 #: How HTML elements behave.
-_RAW = frozenset("script style noscript template title textarea iframe svg math object canvas select".split())
+_RAW = frozenset("script style title textarea iframe xmp noembed noframes".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label img input nobr ruby rt rp".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_CLOSES = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"})}
+_FOREIGN = frozenset(("math", "svg"))
+_CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li dt dd main menu nav ol p pre search section summary table ul".split())
+_WALLS = ("table", "td", "th", "caption", "template", "object", "button")
+_CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 #: Attribute tokens that tell an article from what surrounds it.
 _GOOD = frozenset("article articlebody body content entry main page post story text hentry blogpost prose copy lead".split())
 _BAD = frozenset("""ad ads advert advertisement adslot sponsor sponsored promo promotion banner cookie consent gdpr notice alert
@@ -33,11 +36,13 @@ nav navbar navigation menu breadcrumb breadcrumbs sidebar aside rail widget foot
 share sharing social related recommended trending more newsletter subscribe signup login search form popup modal overlay
 pagination pager tags meta byline author copyright legal skip""".split())
 _TALK = frozenset("comment comments commentlist disqus reply replies respond discussion reader reviews thread".split())
-_KINDS = {k: i for i, names in enumerate(("nav menu", "header", "footer", "aside", "form fieldset button dialog", "article", "main", "section", "div", "p", "h1 h2", "h3 h4 h5 h6", "li dt dd", "ul ol dl", "table tr td th tbody thead", "blockquote pre figure figcaption", "html body", "#text")) for k in names.split()}
+_KINDS = {k: i for i, names in enumerate(("nav menu", "header", "footer", "aside", "form fieldset button dialog select option optgroup datalist", "article", "main", "section", "div", "p", "h1 h2", "h3 h4 h5 h6", "li dt dd", "ul ol dl", "table tr td th tbody thead", "blockquote pre figure figcaption", "html body", "#text")) for k in names.split()}
 _OTHER = len(set(_KINDS.values()))
 
-_TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
-_ATTR = re.compile(r"""(?<![\w-])(class|id|role|itemprop|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_GAP, _ATTR, _IS, _BARE = re.compile(r"[\s/]*"), re.compile(r"=?[^\s/>=]*"), re.compile(r"\s*=\s*"), re.compile(r"[^\s>]*")
+_COMMENT_END = re.compile(r"--!?>")
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in _RAW}
 _PART = re.compile(r"[a-z]+")
 _STOPS = re.compile(r"[.!?,;:]")
 
@@ -58,10 +63,104 @@ class Node:
             parent.children.append(self)
 
 
+def tag_rest(page: str, at: int) -> tuple[dict[str, str], bool, int]:
+    """(attributes, self-closing, end) of a tag from behind its name, by the states of the HTML tokenizer: a quoted value
+    ends at its quote, a bare one at white space or >, the first of two attributes counts. A tag that the page does not
+    end takes the rest of it."""
+    found: dict[str, str] = {}
+    size, closing = len(page), False
+    while True:
+        gap = _GAP.match(page, at)
+        closing, at = gap[0].endswith("/"), gap.end()
+        if at >= size:
+            return found, False, size
+        if page[at] == ">":
+            return found, closing, at + 1
+        name = _ATTR.match(page, at)
+        at, value, told = name.end(), "", _IS.match(page, name.end())
+        if told:
+            at = told.end()
+            if page[at : at + 1] in ('"', "'"):
+                end = page.find(page[at], at + 1)
+                if end < 0:
+                    return found, False, size
+                value, at = page[at + 1 : end], end + 1
+            else:
+                bare = _BARE.match(page, at)
+                value, at = bare[0], bare.end()
+        found.setdefault(name[0].lower(), value)
+
+
+def tokens(page: str):
+    """(kind, value, attributes) of a page in one pass: text, start and end tags, and "/" for a self-closing one. What
+    scripts, styles and other raw elements hold is left out; comments and declarations are."""
+    at, size, text = 0, len(page), 0
+    while at < size:
+        at = page.find("<", at)
+        if at < 0:
+            break
+        after = page[at + 1 : at + 2]
+        slash = after == "/"
+        name = _NAME.match(page, at + 1 + slash)
+        if not name and not (slash and at + 2 < size) and after not in ("!", "?"):
+            at += 1  # a bare < is text
+            continue
+        if at > text:
+            yield "text", page[text:at], None
+        if not name:
+            if page.startswith("<!--", at):
+                short = page[at + 4 : at + 6]
+                end = 1 if short[:1] == ">" else 2 if short == "->" else 0
+                close = None if end else _COMMENT_END.search(page, at + 4)
+                at = at + 4 + end if end else close.end() if close else size
+            else:
+                end = page.find(">", at + 2)
+                at = end + 1 if end >= 0 else size
+            text = at
+            continue
+        tag = name[0].lower()
+        attributes, closing, at = tag_rest(page, name.end())
+        if not slash and tag in _RAW:
+            end = _END[tag].search(page, at)
+            at = tag_rest(page, end.end())[2] if end else size
+        elif tag not in _RAW:
+            yield "end" if slash else "/" if closing else "start", tag, attributes
+        text = at
+    if size > text:
+        yield "text", page[text:], None
+
+
+class Stack:
+    """The open elements, and where each tag lies among them, so no step searches the stack."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost open element of any of these tags, 0 if there is none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def close(self, tags: tuple[str, ...], walls: tuple[str, ...]) -> bool:
+        """Closes the innermost element of these tags and all in it, unless a wall stands further in."""
+        at = self.last(*tags)
+        if not at or self.last(*walls) > at:
+            return False
+        while len(self.nodes) > at:
+            self.places[self.nodes.pop().tag].pop()
+        return True
+
+
 def parse(page: str) -> list[Node]:
-    """The nodes of a page in document order, the root first; runs of text are #text nodes, decoded and squeezed."""
+    """The nodes of a page in document order, the root first; runs of text are #text nodes, decoded and squeezed.
+
+    Elements of formulas and drawings count as inline until one ends them. Only these may close themselves.
+    """
     root = Node("#root", None, [])
-    nodes, stack, parts, linked, in_link = [root], [root], [], 0, False
+    nodes, stack, parts, linked, in_link, foreign = [root], Stack(root), [], 0, False, ""
 
     def flush():
         nonlocal linked
@@ -69,35 +168,28 @@ def parse(page: str) -> list[Node]:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                leaf = Node("#text", stack[-1], [])
+                leaf = Node("#text", stack.nodes[-1], [])
                 leaf.text, leaf.link = text, min(linked, len(text))
                 nodes.append(leaf)
         linked = 0
 
-    at, size = 0, len(page)
-    while at < size:
-        m = _TOKEN.search(page, at)
-        upto = m.start() if m else size
-        if upto > at:
-            piece = page[at:upto]
-            piece = entities.unescape(piece) if "&" in piece else piece
+    for kind, value, attributes in tokens(page):
+        if kind == "text":
+            piece = entities.unescape(value) if "&" in value else value
             parts.append(piece)
             linked += len(piece.strip()) if in_link else 0
-        if not m:
-            break
-        at = m.end()
-        slash, tag, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
             continue
-        tag = tag.lower()
-        if tag in _RAW:
-            if not slash and not rest.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else size
+        tag = value
+        if tag in _FOREIGN:
+            foreign = tag if kind == "start" else "" if kind == "end" else foreign
             continue
+        if foreign:
+            if tag not in _CLOSES_P:
+                continue
+            foreign = ""
         if tag in _INLINE:
             if tag == "a":
-                in_link = not slash
+                in_link = kind != "end"
             continue
         if tag in _VOID:
             if tag == "hr":
@@ -107,30 +199,20 @@ def parse(page: str) -> list[Node]:
             continue
         flush()
         in_link = False
-        if slash:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+        if kind == "end":
+            walls = ("table", "template") if tag in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption") else ("template",) if tag in ("table", "body", "html") else tuple(w for w in _WALLS if w != tag)
+            stack.close((tag,), walls)
             continue
-        if stack[-1].tag == "p":
-            stack.pop()
+        if tag in _CLOSES_P:
+            stack.close(("p",), _WALLS)
         if tag in _CLOSES:
-            names, scope = _CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in scope:
-                    break
-                if stack[i].tag in names.split():
-                    del stack[i:]
-                    break
-        found = [(k.lower(), (v or "").strip("\"'").lower()) for k, v in _ATTR.findall(rest)] if rest else []
-        words = [w for k, v in found if k in ("class", "id", "role", "itemprop") for w in _PART.findall(v)]
-        node = Node(tag, stack[-1], words)
-        node.mark = "data-main" in rest
-        node.hidden = tag == "head" or any(k == "hidden" and v in ("", "hidden") or k == "style" and "display:none" in v.replace(" ", "") for k, v in found)
+            stack.close(*_CLOSES[tag])
+        words = [w for k in ("class", "id", "role", "itemprop") if k in attributes for w in _PART.findall(attributes[k].lower())]
+        node = Node(tag, stack.nodes[-1], words)
+        node.mark = "data-main" in attributes
+        node.hidden = tag in ("head", "template") or "hidden" in attributes and attributes["hidden"].lower() in ("", "hidden") or "display:none" in attributes.get("style", "").replace(" ", "").lower()
         nodes.append(node)
-        if not rest.endswith("/"):
-            stack.append(node)
+        stack.push(node)
     flush()
     return nodes
 
@@ -322,8 +404,10 @@ def main_text(pages: list[str], forest: Forest) -> list[str]:
 def extract(pages: DataFrame, forest: Forest | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text of every row: the article's blocks in page order, joined by spaces.
 
-    Null and empty pages, and pages without an article, give an empty text; broken markup is read as browsers do
-    where that matters for text, and always to the end. Repeated rows come back each; an empty table gives none.
+    Null and empty pages, and pages without an article, give an empty text. Markup is cut into tokens as the HTML
+    standard says, broken or not: so a comment, a raw element or a tag that nothing ends takes the rest of the page.
+    Elements close as in browsers, but misnested inline ones, which make no block, are not rebuilt. Time grows with
+    the length of a page, whatever it holds. Repeated rows come back each; an empty table gives none.
     """
     forest = forest or model()
 
