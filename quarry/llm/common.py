@@ -25,15 +25,45 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the folder that spark.checkpoint.dir names; sets one of its own only where it is unset."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that spark.checkpoint.dir names. Where it is unset a local session gets one of
+    its own; on a cluster that is an error, since executors don't share a machine's temporary folder."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="quarry-checkpoint-")
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quarry-checkpoint-"))
+        context.setCheckpointDir(named)
+    return named
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage through the shared folder. Spark drops the files once the frame is out of use if
+    spark.cleaner.referenceTracking.cleanCheckpoints is on."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """rows and table joined on key, however many rows a key has. table has a row for each key, whose column _n says how
+    many of the total rows have it, which the result leaves out.
+
+    Keys with over a share of 1 / (4 * partitions) of the rows, so at most 4 * partitions of them, are broadcast, and
+    their rows stay where they are; the others are shuffled.
+    """
+    limit = total // (4 * partitions(rows.sparkSession))
+    heavy, light = F.broadcast(table.where(F.col("_n") > limit).drop("_n")), table.where(F.col("_n") <= limit).drop("_n")
+    rest = rows.join(heavy.select(key), key, "left_anti").join(light, key)
+    return rows.join(heavy, key).unionByName(rest)
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, h, text: h is a digest of the text, so rows that share an id stay apart."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

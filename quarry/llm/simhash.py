@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes, checkpointed, partitions
+from quarry.llm.common import as_bytes, checkpointed, keyed, partitions, spread_join
 from quarry.llm.components import components
 
 _CHUNK = 1 << 15
@@ -46,14 +46,15 @@ def signed(fp: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every row. Null and blank texts have fingerprint 0."""
+    """doc_id, h, fp (the 64 bits as a signed long) of every row; h is a digest of the text. Null and blank texts have
+    fingerprint 0."""
 
     def run(stream):
         for batch in stream:
             fps = np.array([fingerprint(x, words, seed) for x in as_bytes(batch.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(fps.view(np.int64))], names=["doc_id", "h", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def _spread(bits: int, blocks: int, radius: int) -> list[tuple[int, np.ndarray]]:
@@ -134,19 +135,39 @@ def links(fps: DataFrame, radius: int = 4, blocks: int = 3) -> DataFrame:
             yield found(key, fp)
 
     n = partitions(fps.sparkSession)
-    variants = fps.select("fp").distinct().mapInArrow(emit, "key long, fp long")
+    # one fingerprint becomes many rows: deal them out first, however few bytes they are
+    variants = fps.select("fp").distinct().repartition(n).mapInArrow(emit, "key long, fp long")
     return variants.repartition(n, "key").sortWithinPartitions("key").mapInArrow(scan, "a long, b long").distinct()
 
 
+def groups(docs: DataFrame, radius: int = 4, blocks: int = 3, words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, h, fp, root, component_id of every row: root names its group, even where ids repeat or are null."""
+    prints = checkpointed(fingerprints(docs, words, seed, id_col, text_col))
+    first = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("_n")))
+    n = first.agg(F.count("*").alias("fps"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows")).first()
+    roots = components(links(first.select("fp"), radius, blocks))
+    rooted = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = checkpointed(rooted.select("fp", "first_id", "root", F.col("_n").alias("rows")))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("_n"))
+    named = spread_join(rooted, least, "root", n.fps).select("fp", "root", "component_id", F.col("rows").alias("_n"))
+    return spread_join(prints, named, "fp", n.rows).select("doc_id", "h", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, blocks: int = 3, words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id of every row: the smallest doc_id that links of at most radius bits reach.
 
     A null doc_id is a row like any other but never names a component unless no other id is there (then null).
     Repeated rows come back as often as they came. An empty table gives no row.
     """
-    prints = checkpointed(fingerprints(docs, words, seed, id_col, text_col))
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(links(first.select("fp"), radius, blocks))
-    named = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = named.join(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return groups(docs, radius, blocks, words, seed, id_col, text_col).select("doc_id", "fp", "component_id")
+
+
+def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row of each group of near-duplicates, with all its columns: the least id, null ids last; of rows that share
+    it, the least digest of the text, then the least row. Ids may repeat and columns may have any name."""
+    found = groups(docs, id_col=id_col, text_col=text_col, **how)
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("head")
+    heads = found.groupBy("root").agg(head).select(F.col("head.doc_id").alias("i"), F.col("head.h").alias("h"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("digest"), F.struct("*").alias("row"))
+    kept = rows.join(heads, rows.doc.eqNullSafe(heads.i) & (rows.digest == heads.h), "left_semi")
+    return kept.groupBy("doc", "digest").agg(F.min("row").alias("row")).select("row.*")
