@@ -6,7 +6,6 @@ reads them back, so a lost executor costs one stage at most.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, packing, secrets, simhash, toxicity
-from quarry.llm.common import table
+from quarry.llm.common import delete, shared_folder, table
 from quarry.llm.registry import toxicity_model
 
 #: The toxicity stage's trees are a trained model, which SQL can't express.
@@ -27,29 +26,13 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group: the least of the rows with the id that names the group.
-
-    A document without an id names no group: it goes if a document that can be named has its group, and else the
-    least of such rows stays.
-    """
-    groups = simhash.near_duplicates(docs)
-    heads = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("_head"), F.col("fp").alias("_fp")).distinct()
-    rest = [c for c in docs.columns if c != "doc_id"]
-    named = docs.join(heads.where("_head IS NOT NULL").select("_head").distinct(), F.col("doc_id") == F.col("_head"), "left_semi")
-    kept = named.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_row")).select("doc_id", "_row.*").select(*docs.columns)
-    nameless = heads.where("_head IS NULL")
-    if nameless.isEmpty():
-        return kept
-    print_of = F.udf(lambda t: simhash.signed(simhash.fingerprint((t or "").encode())), "long")
-    unnamed = docs.where("doc_id IS NULL").withColumn("_print", print_of("text")).join(nameless.select("_fp"), F.col("_print") == F.col("_fp"))
-    least = unnamed.groupBy("_print").agg(F.min(F.struct(*rest)).alias("_row")).select(F.lit(None).cast("long").alias("doc_id"), "_row.*").select(*docs.columns)
-    return kept.unionByName(least)
+    """Keeps one document of each near-duplicate group, that with the least id."""
+    return simhash.distinct(docs)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark item."""
-    leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs.doc_id.eqNullSafe(leaks._leak), "left_anti")
+    """Drops the documents whose text holds a benchmark item; others that share their id stay."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,10 +51,13 @@ STAGES = [("toxicity", civil), ("near_duplicates", distinct), ("decontamination"
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quarry-pipeline-")
-    folder = f"{folder}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. A stage's folder goes once the next one is written, the last stays: it is the result."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            delete(spark, before)
+        before = f"{folder}/{name}"
     return docs

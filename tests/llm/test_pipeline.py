@@ -39,8 +39,8 @@ def test_each_stage_equals_brute_force_on_what_the_one_before_kept(spark, tmp_pa
                     best[g] = rank, r
             want = [r for _, r in best.values()]
         elif name == "decontamination":
-            bad = {i for i, _, _ in leaks(before, items)}
-            want = [r for r in before if r[0] not in bad]
+            bad = {n for n, r in enumerate(before) if leaks([(0, r[1])], items)}
+            want = [r for n, r in enumerate(before) if n not in bad]
             assert bad
         elif name == "secrets":
             want = [(r[0], None if r[1] is None else secrets.redacted(r[1]), r[2], r[3], None if r[4] is None or r[1] is None else len(secrets.redacted(r[1]))) for r in before]
@@ -66,3 +66,31 @@ def test_run_gives_packed_rows(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_ids_that_repeat_and_names_that_clash(spark, tmp_path):
+    texts = [" ".join(f"{w}{i}" for i in range(60)) for w in ("ant", "bee", "cat", "dog")]
+    names = "doc_id long, text string, lang string, source string, n_chars long, _head string, row int, doc int, h int, fp int, digest int, i int, spans int, vec int"
+    data = [(5, texts[0]), (5, texts[1]), (7, texts[2]), (8, texts[2] + " tail"), (None, texts[3]), (None, texts[3]), (None, texts[0])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), f"x{n}", *[n] * 8) for n, (i, t) in enumerate(data)], names)
+    kept = corpus_pipeline.distinct(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.row for r in kept.collect()) == [0, 1, 2, 4]
+    spark.createDataFrame([(1, " ".join(texts[1].split()[5:40]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(5, 1), (7, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    clean = corpus_pipeline.clean_of_benchmark(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns and sorted(r.row for r in clean.collect()) == [0, 2, 3, 4, 5, 6]
+    for stage in (corpus_pipeline.civil, corpus_pipeline.without_secrets):
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+    assert corpus_pipeline.packed(spark, docs, str(tmp_path)).select("doc_id").distinct().count() == 4
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from quarry.llm.common import shared_folder
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://x:1")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))
