@@ -2,6 +2,8 @@ import base64
 import json
 import re
 
+import pytest
+
 from quarry.llm import secrets
 from tests.llm.helpers import frame
 
@@ -11,8 +13,18 @@ def der(tag, body):
     return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")) + body
 
 
-PKCS1 = der(0x30, b"".join(der(0x02, bytes([1 + i] * 40)) for i in range(9)))
-SSH = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-rsa", b"\1\0\1", b"\7" * 64))
+def packed(*fields):
+    return b"".join(len(x).to_bytes(4, "big") + x for x in fields)
+
+
+OID = der(0x30, der(0x06, b"\x2a\x86\x48") + der(0x05, b""))
+PKCS1 = der(0x30, der(0x02, b"\0") + b"".join(der(0x02, bytes([1 + i] * 40)) for i in range(8)))
+PKCS8 = der(0x30, der(0x02, b"\0") + OID + der(0x04, PKCS1))
+SEC1 = der(0x30, der(0x02, b"\1") + der(0x04, b"\7" * 32))
+SEALED = der(0x30, der(0x30, der(0x06, b"\x2a\x86\x49") + der(0x30, der(0x04, b"salt"))) + der(0x04, b"\5" * 64))
+SPKI = der(0x30, OID + der(0x03, b"\0" + b"\7" * 64))
+PUBLIC = packed(b"ssh-ed25519", b"\7" * 32)
+OPENSSH = b"openssh-key-v1\0" + packed(b"none", b"none", b"") + (1).to_bytes(4, "big") + packed(PUBLIC, b"\1\2\3\4" * 2 + packed(b"ssh-ed25519", b"\7" * 32, b"\7" * 64, b"me") + b"\1\2\3"[: -len(packed(b"ssh-ed25519", b"\7" * 32, b"\7" * 64, b"me")) % 8])
 JWT = ".".join(base64.urlsafe_b64encode(x).rstrip(b"=").decode() for x in (json.dumps({"alg": "HS256"}).encode(), b'{"sub":1}', b"signature-bytes"))
 
 
@@ -32,18 +44,58 @@ def test_base_patterns_equal_a_plain_reading():
         assert [s for s in secrets.spans(t) if s[0] in patterns] == sorted(want, key=lambda s: (s[1], secrets.BASE_KINDS.index(s[0])))
 
 
-def test_only_what_parses_is_added():
-    good = base64.b64encode(PKCS1).decode()
-    assert ("der", good) in kinds(f"x {good} y")
-    assert ("der", PKCS1.hex()) in kinds(f"é {PKCS1.hex()}.")
-    broken = base64.b64encode(PKCS1[:-5]).decode()
-    assert "der" not in [k for k, _ in kinds(broken)]
-    assert ("ssh", base64.b64encode(SSH).decode().rstrip("=")) in [(k, s.rstrip("=")) for k, s in kinds(f"ssh-rsa {base64.b64encode(SSH).decode()} me")]
+def b64(data):
+    return base64.b64encode(data).decode()
+
+
+@pytest.mark.parametrize("key", [PKCS1, PKCS8, SEC1, SEALED])
+def test_private_keys_in_every_dress(key):
+    url = base64.urlsafe_b64encode(key).decode()
+    for text in (b64(key), url, url.rstrip("="), key.hex(), key.hex().upper()):
+        assert [s for k, s in kinds(f"é {text}. x") if k == "der"] == [text]
+    for broken in (key[:-5], key + b"\0", key[:2] + b"\xff" + key[3:]):
+        assert not {"der", "pem"} & {k for k, _ in kinds(f"{b64(broken)} {broken.hex()}")}
+    for label in ("PRIVATE KEY", "RSA PRIVATE KEY", "ENCRYPTED PRIVATE KEY"):
+        body = "\n".join(b64(key)[i : i + 64] for i in range(0, len(b64(key)), 64))
+        pem = f"-----BEGIN {label}-----\n{body}\n-----END {label}-----"
+        assert ("pem", pem) in kinds(f"a {pem} b")
+        assert "pem" not in [k for k, _ in kinds(pem.replace(body, "QUJD" * 20))]
+
+
+def test_old_headers_and_openssh():
+    body = b64(b"\x91" * 64)
+    headed = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{'0A' * 16}\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    assert ("pem", headed) in kinds(f"x {headed} y")
+    assert "pem" not in [k for k, _ in kinds(headed.replace("0A" * 16, "0A"))] and "pem" not in [k for k, _ in kinds(headed.replace(body, b64(b"\x91" * 63)))]
+    assert ("ssh", b64(OPENSSH)) in kinds(f"x {b64(OPENSSH)} y")
+    for garbage in (OPENSSH[:-3], b"openssh-key-v1\0" + b"\1" * 60, b"openssh-key-v1\0" + packed(b"none") + b"x" * 40, OPENSSH.replace(b"\1\2\3\4\1\2\3\4", b"\1\2\3\4\1\2\3\5")):
+        assert "ssh" not in [k for k, _ in kinds(b64(garbage))]
+
+
+def test_public_keys_are_no_secret():
+    rsa = packed(b"ssh-rsa", b"\1\0\1", b"\7" * 64)
+    for text in (b64(SPKI), SPKI.hex().upper(), f"ssh-rsa {b64(rsa)} me", b64(PUBLIC), b64(der(0x30, der(0x02, b"\7" * 64) + der(0x02, b"\1\0\1")))):
+        assert not {"der", "ssh", "pem"} & {k for k, _ in kinds(text)}
     assert ("jwt", JWT) in kinds(f"bearer {JWT} end")
     assert "jwt" not in [k for k, _ in kinds("eyabc.def.ghi")]
-    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{good}\n-----END RSA PRIVATE KEY-----"
-    assert ("pem", pem) in kinds(f"a {pem} b")
-    assert "pem" not in [k for k, _ in kinds(pem.replace(good, "QUJD" * 20))]
+
+
+def test_registered_query_on_the_smallest_documents(spark):
+    import hashlib
+
+    from quarry.llm.registry import op4_secrets
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = op4_secrets(spark, sf).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        every = secrets.spans(docs[r.doc_id])
+        base = [s for s in every if s[0] in secrets.BASE_KINDS]
+        line = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for k, _, _ in base) for kind in secrets.BASE_KINDS)
+        assert r.base_sha256 == hashlib.sha256(line(base).encode()).hexdigest() and r.spans == line(every)
+    assert any(r.n_hex for r in got)
 
 
 def test_scan_and_redact_take_awkward_rows(spark):
