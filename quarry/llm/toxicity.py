@@ -89,38 +89,52 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample:
     """A model from the labelled rows of docs.
 
     sample bounds the labelled documents that are fitted, the first by a hash of their ids; lexicon_size bounds the
-    learned words and stems, and least_docs is the number of toxic documents that a term needs. Calibration is fitted on scores from trees that
-    did not see the row (two halves). Null labels and ids take no part; a document labelled twice counts once, with
-    the larger label. Without a labelled row, or with one class only, the model scores by the fixed lexicon's prior.
+    learned words and stems, and least_docs is the number of toxic documents that a term needs. Calibration is fitted
+    on scores of a row by a lexicon and trees that did not see it: each half of the sample learns both for the other.
+    Null labels and ids take no part; a document labelled twice counts once, with the larger label. Without a labelled
+    row, or with one class only, the model scores by the fixed lexicon's prior.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL")
     chosen = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = checkpointed(texts.join(F.broadcast(chosen), "doc_id"))  # at most `sample` ids of 12 bytes
+    rows = texts.join(F.broadcast(chosen), "doc_id")  # at most `sample` ids of 12 bytes
+    rows = checkpointed(rows.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int")))
     found = F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+', 0)"))
     terms = F.array_union(found, F.transform(F.filter(found, lambda w: F.length(w) > STEM), lambda w: F.concat(F.lit("^"), F.substring(w, 1, STEM))))
-    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")).first()
-    n, pos = total.n, int(total.pos)
-    weight = F.log((F.col("p") + 0.5) / (pos + 1.0)) - F.log((F.col("c") - F.col("p") + 0.5) / (n - pos + 1.0))
-    counted = rows.select("y", F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("c"), F.sum("y").alias("p")).where(F.col("p") >= least_docs)
-    told = (F.col("p") - 1.5 * F.sqrt("p")) * F.col("w")
-    ranked = counted.withColumn("w", weight).where("w >= 2.0").orderBy(F.desc(told), "term").limit(lexicon_size)
-    lexicon = {r.term: float(r.w) for r in ranked.collect()}
+    second = F.col("half") == 1
+    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos"), F.count_if(second).alias("n1"), F.coalesce(F.sum(F.when(second, F.col("y"))), F.lit(0)).alias("pos1")).first()
+    one = lambda c: F.sum(F.when(second, c).otherwise(0))
+    counted = rows.select("y", "half", F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("c"), F.sum("y").alias("p"), one(F.lit(1)).alias("c1"), one(F.col("y")).alias("p1"))
+    counted = checkpointed(counted.where(F.col("p") >= least_docs))
+
+    def words(c, p, n: int, pos: int) -> dict[str, float]:
+        weight = F.log((p + 0.5) / (pos + 1.0)) - F.log((c - p + 0.5) / (n - pos + 1.0))
+        rated = counted.where(p >= least_docs).select("term", weight.alias("w"), ((p - 1.5 * F.sqrt(p)) * weight).alias("told"))
+        return {r.term: float(r.w) for r in rated.where("w >= 2.0").orderBy(F.desc("told"), "term").limit(lexicon_size).collect()}
+
+    c, p, c1, p1 = (F.col(k) for k in ("c", "p", "c1", "p1"))
+    pos, pos1 = int(total.pos), int(total.pos1)
+    lexicons = [words(c, p, total.n, pos), words(c - c1, p - p1, total.n - total.n1, pos - pos1), words(c1, p1, total.n1, pos1)]
 
     def run(stream):
         for batch in stream:
-            x = [features(t, lexicon) for t in as_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
+            x = [sum((features(t, lexicon) for lexicon in lexicons), []) for t in as_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("half"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "half", "x"])
 
-    got = rows.mapInArrow(run, "doc_id long, y int, x array<double>").toArrow().to_pydict()
+    got = rows.mapInArrow(run, "doc_id long, y int, half int, x array<double>").toArrow().to_pydict()
     order = np.lexsort((got["doc_id"],)) if got["doc_id"] else np.empty(0, np.int64)
-    x, y = np.array(got["x"], np.float64).reshape(-1, WIDTH)[order], np.array(got["y"], np.float64)[order]
+    every = np.array(got["x"], np.float64).reshape(-1, 3, WIDTH)[order]
+    y, half = np.array(got["y"], np.float64)[order], np.array(got["half"], np.int64)[order]
+    x, parts = every[:, 0], [half == 0, half == 1]
     if not len(y) or y.min() == y.max():
-        return Model(lexicon, fit(x, y), Isotonic(np.empty(0), np.empty(0)))
-    half, unseen = np.arange(len(y)) % 2, np.zeros(len(y))
+        return Model(lexicons[0], fit(x, y), Isotonic(np.empty(0), np.empty(0)))
+    if min(part.sum() for part in parts) == 0:  # one document: nothing is unseen
+        return Model(lexicons[0], fit(x, y), Isotonic(np.empty(0), np.empty(0)))
+    unseen = np.zeros(len(y))
     for k in (0, 1):
-        unseen[half == k] = fit(x[half != k], y[half != k]).probability(x[half == k])
-    return Model(lexicon, fit(x, y), isotonic(unseen, y))
+        seen = every[:, 1 + k]
+        unseen[~parts[k]] = fit(seen[parts[k]], y[parts[k]]).probability(seen[~parts[k]])
+    return Model(lexicons[0], fit(x, y), isotonic(unseen, y))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
