@@ -65,6 +65,44 @@ KNOWN = (
 )
 
 
+_UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and
+all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the
+detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and
+future rights to this software under copyright law. """
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
+damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including
+commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software
+must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an
+acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as
+such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source
+distribution."""
+_BOOST = """Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display,
+distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the
+Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including
+the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in
+part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object
+code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT
+SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+KNOWN += (("Unlicense", _UNLICENSE + _WARRANTY.replace("AUTHORS OR\nCOPYRIGHT HOLDERS", "AUTHORS") + " For more information, please refer to <https://unlicense.org>"), ("Zlib", _ZLIB), ("Zlib", "zlib License " + _ZLIB), ("BSL-1.0", _BOOST))
+#: SHA-256 of the canonical form of long licences: as published, and up to the end of their terms.
+DIGESTS = (
+    ("Apache-2.0", "ef36af97727268b60fb709836c24580bed9887f649dba6f0fd9ef4b18232fd25"), ("Apache-2.0", "119e2da0e9ec849d113a40405b338c1bbbd2ef9194c22bf2740fa4e195411c40"), ("Apache-2.0", "824065d72ca31b7c727341396be4cf76f464b15d9bef680a3638007ce92a009f"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"), ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b"), ("GFDL-1.3", "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d"),
+    ("GPL-1.0", "8a4692e318e41e8d96d4610f021d16f03ff4485322f3d81c00d2621fdda7b2b1"), ("GPL-1.0", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-2.0", "0248b317bc123a7424b6ff9799b9786ffde75241881994270612a604d03836cc"), ("GPL-2.0", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-3.0", "335e2e9a39badb7f3faa5b6e393ff8b393f868383be9ddbf866c5821b34f4810"), ("GPL-3.0", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"), ("LGPL-2.0", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"), ("LGPL-2.1", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"), ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "d0f8b771aff93899189a1c00b418f79ede754095b9039590e567e304c0ef6832"), ("MPL-2.0", "12274540925f246f7614a52b7ebddfbe0463ff1ab194088c554c73552c45582d"), ("BSD-3-Clause", "3d151449461c0c776e892a4dc41cac0d251eb00c9fc49d2d48802d9bed818fe9"),
+)
+
+
 def canonical(text: Column) -> Column:
     text = F.regexp_replace(F.lower(text), _COPYRIGHT, "$1")
     for a, b in SPELLINGS:
@@ -72,13 +110,15 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, _OTHER, " "))
 
 
-def known(spark: SparkSession, texts=KNOWN) -> DataFrame:
-    """digest, license: one row for each canonical text; the first identifier that has it."""
+def known(spark: SparkSession, texts=KNOWN, digests=DIGESTS) -> DataFrame:
+    """digest, license: one row for each canonical text; the first identifier that has it, texts before digests."""
     named = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(texts)], "i int, license string, text string")
-    return named.select("i", "license", F.sha2(canonical(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.min_by("license", "i").alias("license"))
+    named = named.select("i", "license", F.sha2(canonical(F.col("text")), 256).alias("digest"))
+    given = spark.createDataFrame([(len(texts) + i, k, d) for i, (k, d) in enumerate(digests)], "i int, license string, digest string")
+    return named.unionByName(given).groupBy("digest").agg(F.min_by("license", "i").alias("license"))
 
 
-def scan(docs: DataFrame, texts=KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, texts=KNOWN, digests=DIGESTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, digest, license, n_license_lines, line_licenses of every document.
 
     digest is that of the whole canonical text, license what it is known as (null if unknown); line_licenses are the
@@ -89,7 +129,7 @@ def scan(docs: DataFrame, texts=KNOWN, id_col: str = "doc_id", text_col: str = "
     parts = F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("part"))), F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("part"))))
     pieces = docs.withColumn("p", F.explode(parts)).select("doc_id", "h", "p.whole", canonical(F.col("p.part")).alias("part"))
     pieces = pieces.select("doc_id", "h", "whole", F.sha2("part", 256).alias("digest"), (F.col("part") != "").alias("some"))
-    named = F.broadcast(known(docs.sparkSession, texts))  # as many rows as texts
+    named = F.broadcast(known(docs.sparkSession, texts, digests))  # as many rows as texts and digests
     found = pieces.join(named, (pieces.digest == named.digest) & pieces.some, "left").select("doc_id", "h", "whole", pieces.digest, "license")
     line = ~F.col("whole") & F.col("license").isNotNull()
     return found.groupBy("doc_id", "h").agg(

@@ -31,8 +31,9 @@ def op3() -> str:
         return f"trim(regexp_replace({text}, '{licenses._OTHER}', ' ', 'g'))"
 
     values = ", ".join(f"({i}, {_quoted(k)}, {_quoted(t)})" for i, (k, t) in enumerate(licenses.KNOWN))
+    digests = ", ".join(f"({len(licenses.KNOWN) + i}, {_quoted(k)}, {_quoted(d)})" for i, (k, d) in enumerate(licenses.DIGESTS))
     return f"""
-WITH known AS (SELECT sha256({canonical("t")}) AS digest, min_by(license, i) AS license FROM (VALUES {values}) v(i, license, t) GROUP BY 1),
+WITH known AS (SELECT digest, min_by(license, i) AS license FROM (SELECT i, license, sha256({canonical("t")}) AS digest FROM (VALUES {values}) v(i, license, t) UNION ALL SELECT * FROM (VALUES {digests}) w(i, license, digest)) GROUP BY 1),
 docs AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
 r AS (SELECT row_number() OVER () AS r, doc_id, text FROM docs),
 pieces AS (SELECT r, doc_id, true AS whole, text AS part FROM r UNION ALL SELECT r, doc_id, false, unnest(string_split(text, chr(10))) FROM r),

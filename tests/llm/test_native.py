@@ -134,6 +134,22 @@ def test_licences(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_whole_licences(spark):
+    from pathlib import Path
+
+    shelf, names = Path("/usr/share/common-licenses"), {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    found = {f: (shelf / f).read_text() for f in names if (shelf / f).exists()}
+    data = [(i, t, None, None, None) for i, t in enumerate(found.values())]
+    data += [(100 + i, "  " + t.replace("License", "licence").replace("\n", "\r\n") + "\nCopyright (c) 2024 Me", None, None, None) for i, t in enumerate(found.values())]
+    data += [(200 + i, t + " and one word more", None, None, None) for i, t in enumerate(found.values())]
+    got = {r.doc_id: r.license for r in licenses.scan(frame(spark, data)).collect()}
+    for i, f in enumerate(found):
+        assert got[i] == got[100 + i] == names[f] and got[200 + i] is None
+    texts = [(300 + i, t.upper(), None, None, None) for i, (_, t) in enumerate(licenses.KNOWN)]
+    assert {r.doc_id: r.license for r in licenses.scan(frame(spark, texts)).collect()} == {300 + i: k for i, (k, _) in enumerate(licenses.KNOWN)}
+    assert all(re.fullmatch("[0-9a-f]{64}", d) for _, d in licenses.DIGESTS) and len({d for _, d in licenses.DIGESTS}) == len(licenses.DIGESTS)
+
+
 @pytest.mark.parametrize(("query", "sql"), [(op3_licenses, oracles.op3()), (op9_decontaminate, oracles.OP9)])
 def test_sql_gives_the_same_rows(spark, tmp_path, query, sql):
     data = rows()
