@@ -177,8 +177,19 @@ def gather(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "h", "pos", "status"])
 
 
-def shards(df: DataFrame) -> int:
-    return 2 * partitions(df.sparkSession)
+#: Bytes of text for which there is a shard more: a shard is held whole, with some 2 bytes for each of these.
+SHARD_BYTES = 32 << 20
+
+
+def shards(docs: DataFrame, text: str = "text") -> int:
+    """As many shards as the texts need, however many cores there are: at least two for each partition of a shuffle."""
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))).first()[0]
+    return max(2 * partitions(docs.sparkSession), -(-total // SHARD_BYTES))
+
+
+def batch_bytes(shards: int, least: int) -> int:
+    """Bytes of a batch: a batch sends a row to each shard, so it grows with their number while a worker can hold it."""
+    return min(max(least, shards << 12), 16 << 20)
 
 
 def ask(requests: DataFrame, aux_kind, narrow: bool, decide: Callable[[np.ndarray], np.ndarray]) -> DataFrame:

@@ -24,18 +24,18 @@ from quarry.llm.exchange import MIXED, MULTI, WHOLE, WINDOWS
 
 BATCH = 4 << 20
 #: Bits of a place in a batch, the same for every batch, so that equal windows compare the same bits of hashes: a batch
-#: is closed by the text that passes BATCH, and no text reaches 2 GiB.
+#: is closed by the text that passes its size, and no text reaches 2 GiB.
 _PLACE = 32
-_BASE = 0x9E3779B97F4A7C15 | 1
+_BASE, _OTHER = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
 class Strings:
-    """Hashes of the strings of one buffer."""
+    """Hashes of the strings of one buffer, by a base."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, base: int = _BASE):
         n = len(data)
-        up, self.down = powers(_BASE, n + 1)
+        up, self.down = powers(base, n + 1)
         with np.errstate(over="ignore"):
             terms = _BYTES[np.frombuffer(data, np.uint8)] * up[:n]
             self.prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
@@ -122,14 +122,17 @@ def second_requests(docs: list, shards: int, width: int, seed: int) -> list[tupl
     if not docs:
         return []
     batch = exchange.Batch([d for d, _, _ in docs], [len(t) for _, t, _ in docs], shards)
-    strings = Strings(b"".join(t for _, t, _ in docs))
-    at, grams, first, last, _ = anchors(strings, batch.starts, width, seed)
+    data = b"".join(t for _, t, _ in docs)
+    strings = Strings(data)
+    at, _, first, last, _ = anchors(strings, batch.starts, width, seed)
     wanted = np.concatenate([p + s for (_, _, p), s in zip(docs, batch.starts, strict=False)])
     keep = np.isin(at, wanted)
-    first, counts, grams = first[keep], (last - first + 1)[keep], grams[keep]
+    first, counts = first[keep], (last - first + 1)[keep]
     window = np.repeat(first - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
-    check = (np.repeat(grams, counts) >> np.uint64(32)).astype(np.uint32)
-    return [batch.directory(), *settle(batch, strings.at(window, window + width), window, check)]
+    key = strings.at(window, window + width)
+    del strings
+    check = (Strings(data, _OTHER).at(window, window + width) >> np.uint64(32)).astype(np.uint32)
+    return [batch.directory(), *settle(batch, key, window, check)]
 
 
 def settle(batch: exchange.Batch, key: np.ndarray, place: np.ndarray, check: np.ndarray) -> list[tuple]:
@@ -184,23 +187,24 @@ def repeated_strings(docs: DataFrame, width: int = 200, seed_bytes: int = 40, id
     """
     docs = keyed(docs, id_col, text_col)
     n = exchange.shards(docs)
+    size = exchange.batch_bytes(n, BATCH)
 
     def suffix_arrays(stream):
-        for held in batches(stream, BATCH):
+        for held in batches(stream, size):
             yield exchange.tabled(first_requests(held, n, width, seed_bytes))
 
     first = checkpointed(exchange.ask(docs.mapInArrow(suffix_arrays, exchange.REQUEST), np.uint64, False, _first_status))
     told = exchange.joined(docs, first, "first")
 
     def windows(stream):
-        for held in batches(stream, BATCH):
+        for held in batches(stream, size):
             yield exchange.tabled(second_requests(held, n, width, seed_bytes))
 
     second = exchange.ask(told.where("first IS NOT NULL").mapInArrow(windows, exchange.REQUEST), np.uint32, False, _again)
     both = exchange.joined(told, second, "second").select("doc_id", "text", "first", "second")
 
     def cut(stream):
-        for held in batches(stream, BATCH):
+        for held in batches(stream, size):
             ids, kept, spans, sizes = [], [], [], []
             for row, data in held:
                 gone = removed(data, row["first"], row["second"], width, seed_bytes)

@@ -97,3 +97,29 @@ def test_family_finds_what_counting_finds():
 
 def test_empty_table(spark):
     assert suffixes.repeated_strings(frame(spark, [])).count() == 0
+
+
+def test_shards_follow_the_bytes(spark, monkeypatch):
+    assert exchange.shards(suffixes.keyed(frame(spark))) == 8
+    monkeypatch.setattr(exchange, "SHARD_BYTES", 1000)
+    data = [r for r in rows() if len(r[1] or "") < 9000]
+    docs = frame(spark, data)
+    n = exchange.shards(suffixes.keyed(docs))
+    assert n == -(-sum(len((r[1] or "").encode()) for r in data) // 1000) > 8
+    got = sorted(((r.doc_id, bytes(r.kept), [list(s) for s in r.spans], r.n_bytes) for r in suffixes.repeated_strings(docs).collect()), key=str)
+    assert got == brute(data, 200)
+
+
+def test_windows_are_told_apart_by_two_hashes():
+    """Windows that agree in the first hash alone must not count as one."""
+    family = exchange.Family()
+    for check in (1, 2, 2):
+        state = np.zeros(1, np.uint8)
+        family.add(np.array([7], np.uint64), np.array([check], np.uint32), state)
+    assert family.lookup(np.array([7], np.uint64))[0] & exchange.MIXED
+    data = b"abcdefgh" * 40
+    one, two = suffixes.Strings(data), suffixes.Strings(data, suffixes._OTHER)
+    at = np.array([0, 1, 8])
+    for s in (one, two):
+        assert s.at(at, at + 200)[0] == s.at(at, at + 200)[2] != s.at(at, at + 200)[1]
+    assert one.at(at, at + 200)[0] >> np.uint64(32) != two.at(at, at + 200)[0] >> np.uint64(32)
