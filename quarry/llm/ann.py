@@ -91,17 +91,21 @@ def _stack(column) -> np.ndarray:
 
 def _verify(queries: pd.DataFrame, points: pd.DataFrame, k: int, limit: float) -> pd.DataFrame:
     """The k best (id, cosine) that each query finds among points: projected neighbours in rising order, verified in
-    growing steps until the chi-square test holds. bound carries the k-th cosine known from other cells."""
+    growing steps until the chi-square test holds. bound carries the k-th cosine known from other cells. seen counts the
+    points that each query verified, on the first of its rows, or on a row without a find."""
     rows = []
     if len(points):
         low, vec = _stack(points.low), _stack(points.vec)
         norms = np.sqrt(np.einsum("ij,ij->i", vec, vec))
+        sizes = np.einsum("ij,ij->i", low, low)
         ids = points.ids.tolist()
         for q, ql, qv, bound in zip(queries.query_id, queries.low, queries.vec, queries.bound, strict=True):
-            qv = np.asarray(qv, np.float64)
+            qv, ql = np.asarray(qv, np.float64), np.asarray(ql, np.float64)
             qn = math.sqrt(float(qv @ qv))
-            near = ((low - np.asarray(ql, np.float64)) ** 2).sum(axis=1)
-            order = np.argsort(near, kind="stable")
+            near = np.maximum(sizes - 2 * (low @ ql) + ql @ ql, 0)
+            # what the bound of other cells rules out is never sorted
+            order = np.flatnonzero(near <= limit * max(0.0, 2 - 2 * bound) + 1e-9)
+            order = order[np.argsort(near[order], kind="stable")]
             best: list[tuple[float, int]] = []
             at, step = 0, 64
             while at < len(order):
@@ -114,25 +118,28 @@ def _verify(queries: pd.DataFrame, points: pd.DataFrame, k: int, limit: float) -
                     exact = float(np.dot(vec[some[i]], qv)) / (float(norms[some[i]]) * qn)  # one row at a time: alike in any batch
                     best += [(-exact, int(v)) for v in ids[some[i]] if v != q]
                 best = sorted(set(best))[:k]
-                at, step = at + step, step * 2
-            rows += [(q, v, -c) for c, v in best]
-    return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                at, step = at + len(some), step * 2
+            rows += [(q, v, -c, at if i == 0 else 0) for i, (c, v) in enumerate(best)] or [(q, None, None, at)]
+    found = pd.DataFrame(rows, columns=["query_id", "vec_id", "score", "seen"])
+    return found.astype({"query_id": "int64", "vec_id": "Int64", "score": "float64", "seen": "int64"})
 
 
-def nearest(points: DataFrame, is_query, k: int = 5, dims: int = 8, confidence: float = 0.995, sample: int = 32_768, leaf: int = 2048, chunk: int = 4096, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest by cosine that each query finds, itself left out.
+def nearest(points: DataFrame, is_query, k: int = 5, dims: int = 16, confidence: float = 0.95, sample: int = 32_768, leaf: int = 2048, chunk: int = 4096, block: int = 8192, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score, verified: the k nearest by cosine that each query finds, itself left out, and how
+    many points it verified.
 
     is_query is a condition on vec_id. sample bounds the rows that shape the tree (first by a hash of the vector; leaf
     is scaled so that a cell of the whole table holds about that many rows); every row is indexed. Vectors that are
     null, zero, of another width than most, or hold a null or non-finite component take no part. Equal vectors meet
-    in one point that keeps its k + 1 least ids, which is all a ranking can name; larger cells are cut into chunks.
+    in one point that keeps its k + 1 least ids, which is all a ranking can name; larger cells are cut into chunks, and
+    the queries of a cell into blocks, so that no task holds more than chunk points and block queries, give or take chance.
     Rows that repeat an id count once for each distinct vector. No query or no row gives no row.
     """
     spark = points.sparkSession
     vec = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     clean = points.select(F.col(id_col).cast("long").alias("vec_id"), vec.alias("vec")).where("vec_id IS NOT NULL AND vec IS NOT NULL AND forall(vec, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(vec, x -> x <> 0)")
     first = clean.groupBy(F.size("vec").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    empty = "query_id long, rank int, vec_id long, score double"
+    empty = "query_id long, rank int, vec_id long, score double, verified long"
     if first is None:
         return spark.createDataFrame([], empty)
     width = first.w
@@ -169,13 +176,20 @@ def nearest(points: DataFrame, is_query, k: int = 5, dims: int = 8, confidence:
 
     def visit(wanted: DataFrame) -> DataFrame:
         """The best of each (query, cell) pair; a query goes to every chunk of its cell."""
-        sent = wanted.join(widths, "cell").select("query_id", "vec", "low", "bound", "cell", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"))
-        groups = sent.groupBy("cell", "part").cogroup(cells.select("cell", "part", "vec", "low", "ids").groupBy("cell", "part"))
-        return groups.applyInPandas(lambda q, p: _verify(q, p, k, limit), "query_id long, vec_id long, score double")
+        wanted = checkpointed(wanted.select("query_id", "vec", "low", "bound", "cell"))
+        asks = wanted.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")).join(widths, "cell")
+        sent = wanted.join(asks, "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks").cast("long")).cast("int"))
+        sent = sent.select("query_id", "vec", "low", "bound", "cell", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"))
+        held = cells.join(asks.select("cell", "blocks"), "cell").select("cell", "part", "vec", "low", "ids", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        groups = sent.groupBy("cell", "part", "block").cogroup(held.groupBy("cell", "part", "block"))
+        return groups.applyInPandas(lambda q, p: _verify(q, p, k, limit), "query_id long, vec_id long, score double, seen long")
 
     def best(found: DataFrame) -> DataFrame:
-        top = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-        return top.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        """The first k of each query, and how many points it verified in all."""
+        seen = found.groupBy("query_id").agg(F.sum("seen").alias("verified"))
+        named = found.where("vec_id IS NOT NULL").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        top = named.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+        return top.where(F.col("rank") <= k).join(seen, "query_id").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "verified")
 
     asked = clean.where(is_query).select(F.col("vec_id").alias("query_id"), "vec", F.lit(-2.0).alias("bound"))
     asked = checkpointed(asked.mapInPandas(lambda s: (p.assign(ids=[[]] * len(p)) for p in s), "query_id long, vec array<double>, bound double, ids array<long>").mapInPandas(partial(_with_low, project), "query_id long, vec array<double>, bound double, low array<double>"))
@@ -191,7 +205,8 @@ def nearest(points: DataFrame, is_query, k: int = 5, dims: int = 8, confidence:
 
     rest = asked.drop("bound").join(known, "query_id", "left").select("query_id", "vec", F.coalesce("kth", F.lit(-2.0)).alias("bound"), "low")
     rest = rest.mapInPandas(onward, "query_id long, vec array<double>, bound double, low array<double>, cell array<long>").withColumn("cell", F.explode("cell"))
-    return best(early.select("query_id", "vec_id", "score").unionByName(visit(rest)))
+    first = early.select("query_id", "vec_id", "score", F.when(F.col("rank") == 1, F.col("verified")).otherwise(0).alias("seen"))
+    return best(first.unionByName(visit(rest)))
 
 
 def _with_low(project, stream):

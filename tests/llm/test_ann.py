@@ -46,6 +46,23 @@ def test_recall_against_brute_force_over_several_cells(spark):
     assert got[1000][0] == [7, 1001, 1002, 1003, 1004]
 
 
+def test_the_stopping_test_spares_most_points(spark):
+    """On clustered vectors over many cells, with blocks of queries: recall holds and few points are verified."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 16))
+    vectors = [(centres[i % 40] + 0.15 * rng.normal(size=16)).astype(np.float32).tolist() for i in range(4000)]
+    rows = [(i, v, 0) for i, v in enumerate(vectors)]
+    found = ann.nearest(table(spark, rows), F.col("vec_id") % 5 == 0, leaf=128, block=100).collect()
+    got, seen = {}, {}
+    for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+        seen[r.query_id] = r.verified
+    want = brute(rows)
+    assert got.keys() == want.keys() and all(len(g) == 5 for g in got.values())
+    assert sum(len(set(got[q]) & set(want[q][0])) for q in want) >= 0.95 * 5 * len(want)
+    assert sum(seen.values()) < 0.25 * len(rows) * len(seen)
+
+
 def test_few_rows_and_empty(spark):
     assert ann.nearest(table(spark, []), F.col("vec_id") % 5 == 0).count() == 0
     got = ann.nearest(table(spark, [(0, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 1.0], 0)]), F.col("vec_id") % 5 == 0).orderBy("rank").collect()
