@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +36,25 @@ def text_tokens(text: Column, whole: bool = True) -> Column:
     return F.transform(F.filter(found, long), F.lower)
 
 
+def word_ranges(text: Column) -> Column:
+    """start, end of each run of letters, digits and underscores, in bytes of UTF-8, end exclusive; null of a null."""
+
+    def one(text):
+        if text is None:
+            return None
+        out, at, seen = [], 0, 0
+        for m in re.finditer(r"\w+", text):
+            start = at + len(text[seen : m.start()].encode())
+            at, seen = start + len(m[0].encode()), m.end()
+            out.append({"start": start, "end": at})
+        return out
+
+    def every(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return F.pandas_udf(every, "array<struct<start: int, end: int>>")(text)
+
+
 def split_camel(word: Column) -> Column:
     return F.split(word, _SEAM)
 

@@ -11,7 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The weights of the learned relevance, by feature, and its bias.
@@ -188,6 +188,11 @@ def mmr(relevance: list[float], vectors: list[np.ndarray | None], k: int, weight
     return out
 
 
+def floor_mask(signal: list[float], least: float) -> int:
+    """The phrases whose best signal is known and under least, as bits."""
+    return sum(1 << p for p, s in enumerate(signal) if math.isfinite(s) and s < least)
+
+
 def finalize(rows: list[Row], phrases: list[str], how: Finalize) -> list[tuple[Row, float]]:
     """Dedupe, fine windows, floor, learned relevance, diversity, then the guarantees: a hit for each phrase, and the
     pinned rows."""
@@ -202,7 +207,7 @@ def finalize(rows: list[Row], phrases: list[str], how: Finalize) -> list[tuple[R
     if how.min_score > 0:
         if not signal:
             signal = [max((float(r.vector @ q) for r in rows if r.vector is not None), default=-math.inf) for q in queries]
-        floored = sum(1 << p for p, s in enumerate(signal) if math.isfinite(s) and s < how.min_score)
+        floored = floor_mask(signal, how.min_score)
         if floored == (1 << len(phrases)) - 1 and any(map(math.isfinite, signal)):
             return []
         stay = [i for i, r in enumerate(rows) if not floored or r.phrases & ~floored]
@@ -270,12 +275,3 @@ def hits(pool: DataFrame, phrases: DataFrame, how: Finalize = Finalize()) -> Dat
         return frame.astype({"bm25_rank": "Int32"})
 
     return pool.join(phrases.select("query_id", F.col("phrases").alias("asked")), "query_id").groupBy("query_id").applyInPandas(run, HITS)
-
-
-def relevance_column(fine: Column, coarse: Column, bm25_rank: Column, phrases: Column, decl: Column, path: Column, lines: Column) -> Column:
-    """The logistic model as a column; fine and coarse are already on 0..1."""
-    w = RELEVANCE
-    z = F.lit(BIAS) + w["fine"] * F.coalesce(fine, F.lit(0.0)) + w["fine_missing"] * fine.isNull().cast("double") + w["coarse"] * coarse
-    z = z + w["inverse_bm25_rank"] * F.coalesce(1 / bm25_rank, F.lit(0.0)) + w["bm25_missing"] * bm25_rank.isNull().cast("double") + w["phrases"] * F.bit_count(phrases)
-    z = z + w["decl_share"] * decl + w["path_share"] * path + w["chunk_windows"] * lines / 32
-    return 1 / (1 + F.exp(-z))

@@ -48,3 +48,24 @@ def hash_component(term: str, d: str) -> str:
 
 UNIT = "list_transform({v}, lambda x: x::DOUBLE / sqrt(list_sum(list_transform({v}, lambda y: y::DOUBLE * y::DOUBLE))))"
 QUANT = "list_transform({v}, lambda x: greatest(-127, least(127, round(x * 127)))::TINYINT)"
+
+#: Pooled vectors of chunks (cq) and of queries (qq), quantized, and the nearest chunks of each query (sem).
+_D = range(32)
+_TV = ", ".join(f"{hash_component('term', repr(str(d)))} AS h{d}" for d in _D)
+_NORM = "sqrt(" + " + ".join(f"v{d} * v{d}" for d in _D) + ")"
+_Q = "[" + ", ".join(f"greatest(-127, least(127, round(v{d} / {_NORM} * 127)))::INT" for d in _D) + "]"
+
+
+def pooled(name: str, key: str, source: str, n: str, weight: str = "1.0", mean: str = "") -> str:
+    """name AS key, v0..v31: means of the vectors of source's terms, counted n times, weighed, less a mean."""
+    parts = ", ".join(f"sum({n} * {weight} * h{d}) / sum({n} * {weight}){f' - {mean}{d}' if mean else ''} AS v{d}" for d in _D)
+    return f"{name} AS (SELECT {key}, {parts} FROM {source} GROUP BY {key})"
+
+
+TV = f"tv AS (SELECT term, {_TV} FROM (SELECT term FROM terms UNION SELECT term FROM qterms))"
+SEMANTIC = [
+    TV, pooled("cv", "path, start_line", "terms JOIN tv USING (term)", "tf"), pooled("qv", "query_id", "qterms JOIN tv USING (term)", "weight"),
+    f"cq AS (SELECT path, start_line, {_Q} AS q FROM cv)", f"qq AS (SELECT query_id, {_Q} AS q FROM qv)",
+    "near AS (SELECT query_id, path, start_line, 1 - list_sum(list_transform(list_zip(cq.q, qq.q), lambda p: p[1] * p[2])) / (127.0::DOUBLE * 127.0::DOUBLE) AS distance FROM cq, qq)",
+    ranked("near", "sem", 128, "distance, path, start_line"),
+]

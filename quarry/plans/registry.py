@@ -7,11 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import frames
 from quarry.functions import text as T
 from quarry.functions import vectors as V
+from quarry.functions.frames import settled
 from quarry.operators import chunking, display, drift, evaluation, exact, finalize, fusion, lexical, semantic
 from quarry.operators.lexical import KEY
 from quarry.plans import oracles as O
@@ -268,17 +271,27 @@ def prf_second_pass(spark, sf_dir):
 
 
 _RARE = "rare AS (SELECT query_id, term, ln(n_docs / df) AS w FROM qterms JOIN stats USING (term), corpus WHERE df <= greatest(floor(n_docs * 0.2), 8))"
-_BRIDGE = (*_BM25, _RARE, "able AS (SELECT query_id FROM rare GROUP BY query_id HAVING count(*) >= 2)", "held AS (SELECT query_id, path, count(*) AS n, sum(w) AS score FROM (SELECT DISTINCT query_id, path, term, w FROM terms JOIN rare USING (term) JOIN able USING (query_id)) GROUP BY query_id, path HAVING count(*) >= 2)", O.ranked("held", "near", 5, "round(score, 9) DESC, path"))
+_CODE = O.FILES.replace("'.txt'", "CASE doc_id % 3 WHEN 0 THEN '.txt' WHEN 1 THEN '.py' ELSE '' END")
+_BRIDGE = (_CODE, *_BM25[1:], _RARE, "able AS (SELECT query_id FROM rare GROUP BY query_id HAVING count(*) >= 2)", "held AS (SELECT query_id, path, count(*) AS n, sum(w) AS score FROM (SELECT DISTINCT query_id, path, term, w FROM terms JOIN rare USING (term) JOIN able USING (query_id) WHERE path NOT LIKE '%.txt') GROUP BY query_id, path HAVING count(*) >= 2)", O.ranked("held", "near", 5, "round(score, 9) DESC, path"))
+
+
+def _code(spark, sf_dir):
+    """Tokens of the documents as files of three kinds, of which expansions learn from two."""
+    f = files(spark, sf_dir)
+    kind = F.regexp_extract("path", r"([0-9]+)\.txt$", 1).cast("long") % 3
+    stem = F.regexp_replace("path", r"\.txt$", "")
+    path = F.when(kind == 0, F.col("path")).when(kind == 1, F.concat(stem, F.lit(".py"))).otherwise(stem)
+    return lexical.chunk_tokens(chunking.window_chunks(f.withColumn("path", path)))
 
 
 @query(O.with_(*_BRIDGE, select="SELECT query_id, rank, path, round(score, 6) AS score FROM near"))
 def bridge_files(spark, sf_dir):
-    return rounded(lexical.bridge_files(tokens(spark, sf_dir), asked(spark), every=True), "score")
+    return rounded(lexical.bridge_files(_code(spark, sf_dir), asked(spark)), "score")
 
 
 @query(O.with_(*_BRIDGE, "cand AS (SELECT n.query_id, t.term, count(DISTINCT t.path) AS n_files FROM near n JOIN terms t USING (path) WHERE strlen(t.term) >= 3 GROUP BY ALL HAVING count(DISTINCT t.path) >= 2)", "rated AS (SELECT c.query_id, c.term, n_files * ln(n_docs / df) AS score FROM cand c JOIN stats USING (term), corpus WHERE df <= greatest(floor(n_docs * 0.2), 8) AND NOT EXISTS (SELECT 1 FROM qterms q WHERE q.query_id = c.query_id AND q.term = c.term))", O.ranked("rated", "more", 5, "round(score, 9) DESC, term"), select="SELECT query_id, rank, term, round(score, 6) AS score FROM more"))
 def bridge_terms(spark, sf_dir):
-    return rounded(lexical.bridge_terms(tokens(spark, sf_dir), asked(spark), every=True), "score")
+    return rounded(lexical.bridge_terms(_code(spark, sf_dir), asked(spark)), "score")
 
 
 # Vectors
@@ -332,17 +345,17 @@ def sif_weights(spark, sf_dir):
 
 
 def _pool_sql(weight: str, join: str) -> str:
-    """Components 0 to 3 of the pooled vectors of all chunks."""
+    """The pooled vectors of all chunks."""
     parts = ", ".join(f"sum(n * {weight} * {O.hash_component('term', repr(str(d)))}) / sum(n * {weight}) AS v{d}" for d in range(32))
     norm = " + ".join(f"v{d} * v{d}" for d in range(32))
-    return f"counts AS (SELECT path, start_line, term, count(*) AS n FROM (SELECT path, start_line, unnest(tokens) AS term FROM tok) GROUP BY ALL)", f"raw AS (SELECT path, start_line, {parts} FROM counts {join} GROUP BY path, start_line)", "SELECT path, start_line, " + ", ".join(f"round(v{d} / sqrt({norm}), 6) AS v{d}" for d in range(4)) + " FROM raw"
+    return f"counts AS (SELECT path, start_line, term, count(*) AS n FROM (SELECT path, start_line, unnest(tokens) AS term FROM tok) GROUP BY ALL)", f"raw AS (SELECT path, start_line, {parts} FROM counts {join} GROUP BY path, start_line)", "SELECT path, start_line, " + ", ".join(f"round(v{d} / sqrt({norm}), 6) AS v{d}" for d in range(32)) + " FROM raw"
 
 
 def _pooled(spark, sf_dir, weighted: bool):
     every = tokens(spark, sf_dir)
     weights = semantic.weights_of(every) if weighted else None
     v = semantic.pooled(every, semantic.term_vectors(every.select(F.explode("tokens").alias("term"))), weights)
-    return v.select(*KEY, *[F.round(F.get("v", F.lit(d)), 6).alias(f"v{d}") for d in range(4)])
+    return v.select(*KEY, *[F.round(F.get("v", F.lit(d)), 6).alias(f"v{d}") for d in range(32)])
 
 
 @query(O.with_(*O.BASE[:4], *_pool_sql("1.0", "")[:2], select=_pool_sql("1.0", "")[2]))
@@ -355,16 +368,21 @@ def sif_pooled(spark, sf_dir):
     return _pooled(spark, sf_dir, True)
 
 
-# Fusion: two lists from BM25 over different halves of a query stand for the channels
+# Fusion of the lexical and the semantic list
 
-_TWO = (*_BM25, O.scored(), O.ranked("scored", "lex", 128), O.queries([(i, " ".join(q.split()[:1])) for i, q in ASKED]).replace("queries AS", "queries2 AS"), O.QTERMS.replace("qterms AS", "qterms2 AS").replace("FROM queries", "FROM queries2"), O.scored("scored2", "qterms2"), O.ranked("scored2", "sem", 128))
+_TWO = (*_BM25, O.scored(), O.ranked("scored", "lex", 128), *O.SEMANTIC)
 _FUSED = "fused AS (SELECT query_id, path, start_line, sum(s) AS score FROM (SELECT query_id, path, start_line, 1.0::DOUBLE / (60 + rank) AS s FROM lex UNION ALL SELECT query_id, path, start_line, 0.2::DOUBLE / (60 + rank) FROM sem) GROUP BY ALL)"
 
 
 def _two(spark, sf_dir):
     every = tokens(spark, sf_dir)
-    first = spark.createDataFrame([(i, " ".join(q.split()[:1])) for i, q in ASKED], "query_id long, phrase string")
-    return lexical.bm25(every, asked(spark)), lexical.bm25(every, first).withColumn("distance", -F.col("score"))
+    vectors = semantic.chunk_vectors(every, semantic.term_vectors(every.select(F.explode("tokens").alias("term"))))
+    return lexical.bm25(every, asked(spark)), semantic.nearest(vectors, semantic.query_vectors(asked(spark)), 128, KEY)
+
+
+@query(O.with_(*_BM25, *O.SEMANTIC, select="SELECT query_id, rank, path, start_line, round(distance, 6) AS distance FROM sem"))
+def semantic_topk(spark, sf_dir):
+    return rounded(_two(spark, sf_dir)[1], "distance")
 
 
 @query(O.with_(*_TWO, _FUSED, O.ranked("fused", "out", 256), select="SELECT query_id, rank, path, start_line, round(score, 9) AS score FROM out"))
@@ -373,33 +391,39 @@ def rrf_hybrid(spark, sf_dir):
     return fusion.fuse(lex, sem).select("query_id", "rank", *KEY, F.round("score", 9).alias("score"))
 
 
-@query(O.with_(*_TWO, "floor AS (SELECT query_id, min(score) AS f, max(rank) AS l FROM sem GROUP BY query_id)", "miss AS (SELECT query_id, path, start_line, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM lex WHERE rank <= 5 AND NOT EXISTS (SELECT 1 FROM sem s WHERE s.query_id = lex.query_id AND s.path = lex.path AND s.start_line = lex.start_line))", select="SELECT query_id, rank, path, start_line, round(score, 6) AS score FROM sem UNION ALL SELECT query_id, (coalesce(l, 0) + i)::INT, path, start_line, round(coalesce(f, 0) - 0.001 * i, 6) FROM miss LEFT JOIN floor USING (query_id)"))
+@query(O.with_(*_TWO, "floor AS (SELECT query_id, min(1 - distance) AS f, max(rank) AS l FROM sem GROUP BY query_id)", "miss AS (SELECT query_id, path, start_line, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM lex WHERE rank <= 5 AND NOT EXISTS (SELECT 1 FROM sem s WHERE s.query_id = lex.query_id AND s.path = lex.path AND s.start_line = lex.start_line))", select="SELECT query_id, rank, path, start_line, round(1 - distance, 6) AS score FROM sem UNION ALL SELECT query_id, (coalesce(l, 0) + i)::INT, path, start_line, round(coalesce(f, 0) - 0.001 * i, 6) FROM miss LEFT JOIN floor USING (query_id)"))
 def pins_appended(spark, sf_dir):
     lex, sem = _two(spark, sf_dir)
-    return _hit(fusion.pinned(sem.select("query_id", "rank", *KEY, "score"), lex))
+    return _hit(fusion.pinned(fusion.fuse(lex, sem, "semantic"), lex))
 
 
 _TAIL = r"regexp_extract(path, '([^/]+/[^/]+)$', 1)"
 
 
-@query(O.with_(*_BM25, O.scored(), O.ranked("scored", "top", 128), f"shared AS (SELECT top.*, CASE WHEN rank <= 30 THEN len(list_intersect(list_distinct({O.tokens('phrase')}), {O.tokens(_TAIL)})) / len(list_distinct({O.tokens('phrase')})) ELSE 0 END AS path_share FROM top JOIN queries USING (query_id))", "b AS (SELECT query_id, path, start_line, rank AS was, path_share, score * (1 + 0.5 * path_share) AS score FROM shared)", select="SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, was)::INT AS rank, path, start_line, round(score, 6) AS score, round(path_share, 6) AS path_share FROM b"))
+_MINE = f"list_distinct({O.tokens('phrase')})"
+
+
+@query(O.with_(*_BM25, O.scored(), O.ranked("scored", "top", 128), f"shared AS (SELECT top.*, CASE WHEN rank <= 30 THEN len(list_intersect({_MINE}, {O.tokens(_TAIL)})) / len({_MINE}) ELSE 0 END AS path_share, CASE WHEN rank <= 30 THEN len(list_intersect({_MINE}, tok.tokens[6:25])) / len({_MINE}) ELSE 0 END AS decl_share FROM top JOIN queries USING (query_id) JOIN tok USING (path, start_line))", "b AS (SELECT query_id, path, start_line, rank AS was, path_share, decl_share, score * (1 + 0.5 * decl_share) * (1 + 0.5 * path_share) AS score FROM shared)", select="SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, was)::INT AS rank, path, start_line, round(score, 6) AS score, round(path_share, 6) AS path_share, round(decl_share, 6) AS decl_share FROM b"))
 def structural_boost(spark, sf_dir):
-    ranking = lexical.bm25(tokens(spark, sf_dir), asked(spark)).select("query_id", "rank", *KEY, "score")
-    out = fusion.boosted(ranking, asked(spark), None, 30, path=0.5)
-    return rounded(out.select("query_id", "rank", *KEY, "score", "path_share"), "score", "path_share")
+    """The documents declare nothing, so twenty tokens of each chunk stand for what it declares."""
+    every = tokens(spark, sf_dir)
+    ranking = lexical.bm25(every, asked(spark)).select("query_id", "rank", *KEY, "score")
+    declared = every.select(*KEY, F.slice("tokens", 6, 20).alias("tokens"))
+    out = fusion.boosted(ranking, asked(spark), declared, 30, path=0.5)
+    return rounded(out.select("query_id", "rank", *KEY, "score", "path_share", "decl_share"), "score", "path_share", "decl_share")
 
 
-@query(O.with_(*_TWO, "near AS (SELECT query_id, path, start_line, rank AS bm25_rank FROM lex WHERE rank <= 16)", select="SELECT query_id, rank, path, start_line, bm25_rank FROM sem LEFT JOIN near USING (query_id, path, start_line) WHERE rank <= 30 OR bm25_rank <= 5"))
+@query(O.with_(*_TWO, "top16 AS (SELECT query_id, path, start_line, rank AS bm25_rank FROM lex WHERE rank <= 16)", select="SELECT query_id, rank, path, start_line, bm25_rank FROM sem LEFT JOIN top16 USING (query_id, path, start_line) WHERE rank <= 30 OR bm25_rank <= 5"))
 def candidate_selection(spark, sf_dir):
     lex, sem = _two(spark, sf_dir)
-    return fusion.candidates(sem.select("query_id", "rank", *KEY, "score"), lex, 5).select("query_id", "rank", *KEY, "bm25_rank")
+    return fusion.candidates(fusion.fuse(lex, sem, "semantic"), lex, 5).select("query_id", "rank", *KEY, "bm25_rank")
 
 
-@query(O.with_(*_TWO, "ps AS (SELECT query_id, 0 AS p, rank, path, start_line, score FROM lex WHERE rank <= 20 UNION ALL SELECT query_id, 1, rank, path, start_line, score FROM sem WHERE rank <= 20)", "fl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, p) AS turn, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END AS s FROM ps WINDOW w AS (PARTITION BY query_id, p))", "m AS (SELECT query_id, path, start_line, min(turn) AS turn, arg_min(s, turn) AS score, bit_or((1 << p)::INT) AS phrases FROM fl GROUP BY ALL)", select="SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY turn)::INT AS rank, path, start_line, round(score, 6) AS score, phrases FROM m"))
+@query(O.with_(*_TWO, "ps AS (SELECT query_id, 0 AS p, rank, path, start_line, score FROM lex WHERE rank <= 20 UNION ALL SELECT query_id, 1, rank, path, start_line, 1 - distance FROM sem WHERE rank <= 20)", "fl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, p) AS turn, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END AS s FROM ps WINDOW w AS (PARTITION BY query_id, p))", "m AS (SELECT query_id, path, start_line, min(turn) AS turn, arg_min(s, turn) AS score, bit_or((1 << p)::INT) AS phrases FROM fl GROUP BY ALL)", select="SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY turn)::INT AS rank, path, start_line, round(score, 6) AS score, phrases FROM m"))
 def phrase_interleave(spark, sf_dir):
     lex, sem = _two(spark, sf_dir)
     part = lambda df, p: df.where("rank <= 20").select("query_id", F.lit(p).alias("p"), "rank", *KEY, "score")
-    return rounded(fusion.merge_phrases(part(lex, 0).unionByName(part(sem, 1))), "score")
+    return rounded(fusion.merge_phrases(part(lex, 0).unionByName(part(fusion.fuse(lex, sem, "semantic"), 1))), "score")
 
 
 @query(r"SELECT item_id, list_transform(list_filter(list_transform(string_split(regexp_replace(text, '\s+', '|', 'g'), '|'), lambda x: trim(x)), lambda x: x <> '')[1:8], lambda x: x) AS phrases FROM benchmark")
@@ -426,7 +450,7 @@ def maxsim_scores(spark, sf_dir):
     return rounded(semantic.max_sim(head, every, asked(spark)), "sim")
 
 
-@query()
+@query(O.with_(*_BM25, O.scored(), O.ranked("scored", "head", 40), *_SIM[-6:], "m AS (SELECT query_id, path, start_line, sim, 1 - (1 - score / 100) AS near FROM head LEFT JOIN sims USING (query_id, path, start_line))", "s AS (SELECT *, CASE WHEN max(sim) OVER w > min(sim) OVER w THEN (sim - min(sim) OVER w) / (max(sim) OVER w - min(sim) OVER w) ELSE 0 END AS a, CASE WHEN max(near) FILTER (WHERE sim IS NOT NULL) OVER w > min(near) FILTER (WHERE sim IS NOT NULL) OVER w THEN (near - min(near) FILTER (WHERE sim IS NOT NULL) OVER w) / (max(near) FILTER (WHERE sim IS NOT NULL) OVER w - min(near) FILTER (WHERE sim IS NOT NULL) OVER w) ELSE 0 END AS b FROM m WINDOW w AS (PARTITION BY query_id))".replace("s AS (SELECT *", "spans AS (SELECT *"), "d AS (SELECT query_id, path, start_line, CASE WHEN sim IS NULL THEN 1.0 ELSE -(0.5 * a + 0.5 * b) END AS distance FROM spans)", select="SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), path, start_line)::INT AS rank, path, start_line, round(distance, 6) + 0.0::DOUBLE AS distance FROM d"))
 def maxsim_rerank(spark, sf_dir):
     every = tokens(spark, sf_dir)
     ranking = lexical.bm25(every, asked(spark), 40).withColumn("distance", 1 - F.col("score") / 100).select("query_id", "rank", *KEY, "distance")
@@ -436,19 +460,36 @@ def maxsim_rerank(spark, sf_dir):
 # The tail of a search
 
 
-@query(f"WITH r AS (SELECT doc_id, quality, toxic, doc_id % 17 AS b FROM labels) SELECT doc_id, round(1 / (1 + exp(-({finalize.BIAS} + 0.831619 * quality * 0.5 + -0.583163 * toxic + CASE WHEN b > 0 THEN 1.25367 / b ELSE -0.659836 END + -0.0275815 * 1 + 0.329578 * 0.25 + 0.468366 * 0.5 + 2.75082 * 24 / 32))), 6) AS relevance FROM r")
+_LOGIT = f"{finalize.BIAS} + CASE WHEN fine IS NULL THEN 0 WHEN hi > lo THEN 0.831619 * (fine - lo) / (hi - lo) ELSE 0.831619 * 0.5 END + -0.583163 * CASE WHEN smax > smin THEN (score - smin) / (smax - smin) ELSE 0.5 END + CASE WHEN b > 0 THEN 1.25367 / b ELSE -0.659836 END + -0.0275815 * bit_count(p) + 0.329578 * decl + 0.468366 * pshare + 2.75082 * height / 32"
+
+
+@query(f"WITH r AS (SELECT doc_id, doc_id % 23 AS g, CASE WHEN doc_id % 4 <> 0 THEN (doc_id * 37 % 101) / 101.0 END AS fine, (doc_id * 53 % 97) / 7.0 AS score, doc_id % 17 AS b, (1 + doc_id % 7)::INT AS p, (doc_id % 5) / 5.0 AS decl, (doc_id % 3) / 3.0 AS pshare, 6 + doc_id % 27 AS height FROM labels), s AS (SELECT *, min(fine) OVER w AS lo, max(fine) OVER w AS hi, min(score) OVER w AS smin, max(score) OVER w AS smax FROM r WINDOW w AS (PARTITION BY g)), o AS (SELECT doc_id, g, CASE WHEN smax > smin THEN (score - smin) / (smax - smin) ELSE 0.5 END AS rel, 1 / (1 + exp(-({_LOGIT}))) AS odds FROM s) SELECT doc_id, round(0.5 * rel + 0.5 * odds, 6) AS relevance FROM o")
 def learned_relevance(spark, sf_dir):
-    rows = table(spark, sf_dir, "labels")
-    b = F.when(F.col("doc_id") % 17 > 0, F.col("doc_id") % 17)
-    lit = lambda x: F.lit(float(x))
-    rel = finalize.relevance_column(F.col("quality") * 0.5, F.col("toxic").cast("double"), b, F.lit(1), lit(0.25), lit(0.5), lit(24))
-    return rows.select("doc_id", F.round(rel, 6).alias("relevance"))
+    """The stage of a search itself, over groups of made-up candidates."""
+    d = F.col("doc_id")
+    rows = table(spark, sf_dir, "labels").select("doc_id", (d % 23).alias("g"), F.when(d % 4 != 0, (d * 37 % 101) / 101.0).alias("fine"), ((d * 53 % 97) / 7.0).alias("score"), (d % 17).alias("b"), (1 + d % 7).cast("int").alias("p"), ((d % 5) / 5.0).alias("decl"), ((d % 3) / 3.0).alias("pshare"), (6 + d % 27).alias("height"))
 
+    def run(pdf):
+        pdf = pdf.sort_values("doc_id")
+        made = [finalize.Row(str(r.doc_id), 1, int(r.height), [], r.score, int(r.p), int(r.b) or None, r.decl, r.pshare, None if r.fine != r.fine else (1, 1, r.fine, 0)) for r in pdf.itertuples(index=False)]
+        order, mixed = finalize.learned(made, [r.score for r in made], 0.5)
+        return pd.DataFrame({"doc_id": [int(r.path) for r in order], "relevance": [round(m, 6) for m in mixed]})
 
-@query("SELECT label, max(s) AS best, max(s) < 60 AS floored FROM (SELECT label, vec_id % 97 AS s FROM embeddings) GROUP BY label")
+    return rows.groupBy("g").applyInPandas(run, "doc_id long, relevance double")
+
+
+@query("SELECT label, sum(CASE WHEN best < 0.97 THEN 1 << p ELSE 0 END)::INT AS floored FROM (SELECT label, p::INT AS p, max(s) AS best FROM (SELECT label, vec_id % 3 AS p, (vec_id * 31 % 89) / 90.0 AS s FROM embeddings WHERE vec_id % 6 <> 2) GROUP BY ALL) GROUP BY label")
 def score_floor(spark, sf_dir):
-    s = table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 97).alias("s"))
-    return s.groupBy("label").agg(F.max("s").alias("best")).withColumn("floored", F.col("best") < 60)
+    """The floor of a search itself, over the best signal of three phrases in each group."""
+    v = F.col("vec_id")
+    rows = table(spark, sf_dir, "embeddings").where(v % 6 != 2).select("label", (v % 3).cast("int").alias("p"), ((v * 31 % 89) / 90.0).alias("s"))
+    best = rows.groupBy("label", "p").agg(F.max("s").alias("s"))
+
+    def run(pdf):
+        signal = [max(pdf.s[pdf.p == p], default=float("-inf")) for p in range(3)]
+        return pd.DataFrame({"label": [pdf.label.iloc[0]], "floored": [finalize.floor_mask(signal, 0.97)]})
+
+    return best.groupBy("label").applyInPandas(run, f"label {dict(rows.dtypes)['label']}, floored int")
 
 
 def _searched(spark, sf_dir, mode, **more):
@@ -521,7 +562,11 @@ def prose_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", T.render_body(F.col("text"), "split")).alias("prose"))
 
 
-_KW = ", ".join(f"'{k}'" for k in sorted(T.KEYWORDS | T.EXTRA_KEYWORDS))
+_KW = "'" + "', '".join("""abstract and as async await bool break case catch char class const continue crate def default delete do double elif else enum except extends extern
+false final finally float fn for from friend func function goto if impl implements import in inline int interface is lambda let long loop match mod
+module mut namespace new nil none not null operator or override package pass private protected pub public raise register return self short signed
+sizeof static string struct super switch template then this throw trait true try type typedef typename union unless unsafe unsigned until use using
+var virtual void volatile where while with yield begin end""".split()) + "'"
 
 
 @query(f"SELECT doc_id, array_to_string(list_filter({O.tokens('text', False)}, lambda t: t NOT IN ({_KW}) AND NOT regexp_matches(t, '^[0-9]+$')), ' ') AS prose FROM documents")
@@ -581,24 +626,25 @@ def index_discovery(spark, sf_dir):
     return drift.covering(entries, f.select(F.col("path").alias("scope"), F.lit("w32o8").alias("params")))
 
 
-# Evaluation: each benchmark item asks for itself; gold is the first document that holds a line of it
+# Evaluation: each benchmark item asks with its whole text; gold is the document that holds most of its tokens
 
-_GOLD = (O.FILES, "q AS (SELECT item_id AS query_id, text AS query, array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ') AS short FROM benchmark)", "g AS (SELECT query_id, query, short, min(path) AS gold_path FROM q JOIN files ON contains(files.text, q.short) GROUP BY ALL)")
+_GOLD = (O.FILES, "q AS (SELECT item_id AS query_id, text AS query FROM benchmark)", f"ft AS (SELECT path, unnest(list_distinct({O.tokens('text')})) AS term FROM files)", f"qt AS (SELECT query_id, unnest(list_distinct({O.tokens('query')})) AS term FROM q)", "held AS (SELECT query_id, path, count(*) AS n FROM ft JOIN qt USING (term) GROUP BY ALL)", "g AS (SELECT query_id, query, path AS gold_path FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, path) AS i FROM held) JOIN q USING (query_id) WHERE i = 1)")
 
 
 def _gold(spark, sf_dir):
-    short = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), short.alias("short"))
-    f = files(spark, sf_dir)
-    found = f.join(F.broadcast(q), f.text.contains(q.short))  # the benchmark is a stated query set
-    return found.groupBy("query_id", "query", "short").agg(F.min("path").alias("gold_path"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    asks = q.select("query_id", F.explode(F.array_distinct(T.text_tokens(F.col("query")))).alias("term"))
+    wanted = settled(asks.select("term").distinct())  # a word of a query is all that leaves the scan
+    held = frames.held(files(spark, sf_dir), "tokens", F.array_distinct(T.text_tokens(F.col("text")))).select("path", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
+    counted = held.join(asks, "term").groupBy("query_id", "path").agg(F.count("*").alias("n"))
+    best = counted.groupBy("query_id").agg(F.min_by("path", F.struct(-F.col("n"), "path")).alias("gold_path"))
+    return best.join(q, "query_id").select("query_id", "query", "gold_path")
 
 
-@query(O.with_(*O.BASE, "queries AS (SELECT item_id AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ') AS phrase, array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ') AS short FROM benchmark)", "gold AS (SELECT query_id, min(path) AS gold_path FROM queries JOIN files ON contains(files.text, short) GROUP BY query_id)", O.QTERMS, O.scored(), O.ranked("scored", "top", 10), "firsts AS (SELECT query_id, min(CASE WHEN path = gold_path THEN rank END) AS f FROM gold LEFT JOIN top USING (query_id) GROUP BY query_id)", select="SELECT count(*) AS n, round(avg(CASE WHEN f <= 1 THEN 1.0 ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN f <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_5, round(avg(CASE WHEN f <= 10 THEN 1.0 ELSE 0 END), 6) AS recall_10, round(avg(CASE WHEN f <= 10 THEN 1.0 / f ELSE 0 END), 6) AS mrr_10 FROM firsts"))
+@query(O.with_(*O.BASE, "queries AS (SELECT item_id AS query_id, text AS phrase FROM benchmark)", *_GOLD[1:], O.QTERMS, O.scored(), O.ranked("scored", "top", 10), "firsts AS (SELECT query_id, min(CASE WHEN path = gold_path THEN rank END) AS f FROM g LEFT JOIN top USING (query_id) GROUP BY query_id)", select="SELECT count(*) AS n, round(avg(CASE WHEN f <= 1 THEN 1.0 ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN f <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_5, round(avg(CASE WHEN f <= 10 THEN 1.0 ELSE 0 END), 6) AS recall_10, round(avg(CASE WHEN f <= 10 THEN 1.0 / f ELSE 0 END), 6) AS mrr_10 FROM firsts"))
 def recall_mrr(spark, sf_dir):
     gold = _gold(spark, sf_dir).select("query_id", "gold_path", F.lit(1).alias("gold_start"), F.lit(1 << 30).alias("gold_end"))
-    phrase = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), phrase.alias("phrase"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("phrase"))
     top = lexical.bm25(tokens(spark, sf_dir), q, 10).withColumn("end_line", F.col("start_line") + 31)
     return rounded(evaluation.metrics(evaluation.first_correct(top, gold)), "recall_1", "recall_5", "recall_10", "mrr_10")
 
@@ -610,21 +656,32 @@ def sign_test_counts(spark, sf_dir):
     return evaluation.discordant(a, d.withColumn("first", F.when(F.col("query_id") % 4 == 0, 1 + F.col("query_id") % 9)))
 
 
-_STOP = ", ".join(f"'{w}'" for w in evaluation.STOPWORDS)
-_LEAK = "l AS (SELECT query_id, list_filter(regexp_extract_all(query, '[A-Za-z0-9_]+'), lambda t: lower(t) NOT IN (" + _STOP + ")) AS words, query, gold_path, files.text AS gold_text FROM g JOIN files ON files.path = gold_path)"
+_STOP = "'" + "', '".join("a an and are as at be by code does file find for from how in is it its of on or that the this to what when where which who why with".split()) + "'"
+_CONTENT = "list_filter(regexp_extract_all({}, '[A-Za-z0-9_]+'), lambda t: lower(t) NOT IN (" + _STOP + "))"
+_IDENT = "(contains(w, '_') OR regexp_matches(w, '[a-z][A-Z]'))"
+_LEAK = (f"l AS (SELECT query_id, query, lower(query) AS ql, {_CONTENT.format('query')} AS words, {_CONTENT.format('files.text')} AS held, lower(files.text) AS gl, gold_path, string_split(gold_path, '/') AS parts FROM g JOIN files ON files.path = gold_path)", "l2 AS (SELECT *, list_filter(list_transform(parts[1 : len(parts) - 1], lambda s: lower(s)), lambda s: length(s) >= 4 AND contains(ql, s)) AS segs, lower(regexp_replace(parts[len(parts)], '[.][^.]*$', '')) AS stem, list_distinct(list_transform(words, lambda w: lower(w))) AS mine, list_distinct(list_transform(held, lambda w: lower(w))) AS theirs, list_transform(list_filter(held, lambda w: " + _IDENT + "), lambda w: lower(w)) AS names FROM l)", "leak AS (SELECT query_id, len(list_filter(words, lambda w: " + _IDENT + ")) > 0 AS has_identifier, len(list_filter(regexp_split_to_array(query, '\\s+'), lambda w: w <> ''))::INT AS n_words, contains(ql, lower(parts[len(parts)])) AS basename_in_query, length(stem) >= 4 AND contains(ql, stem) AS stem_in_query, len(segs) > 0 AS path_seg_in_query, len(list_filter(segs, lambda s: NOT contains(gl, s))) > 0 AS path_seg_not_in_gold, CASE WHEN len(mine) > 0 THEN len(list_intersect(mine, theirs)) / len(mine) ELSE 0 END AS gold_token_overlap, len(list_filter(words, lambda w: list_contains(names, lower(w))))::INT AS gold_id_hits FROM l2)")
 
 
-@query(O.with_(*_GOLD, _LEAK, select=f"SELECT query_id, len(list_filter(words, lambda w: contains(w, '_') OR regexp_matches(w, '[a-z][A-Z]'))) > 0 AS has_identifier, len(list_filter(regexp_split_to_array(query, '\\s+'), lambda w: w <> ''))::INT AS n_words, round(len(list_intersect(list_distinct({O.tokens('query')}), {O.tokens('gold_text')})) / len(list_distinct({O.tokens('query')})), 6) AS gold_token_overlap FROM l"))
-def leakage_profile(spark, sf_dir):
+def _leaks(spark, sf_dir):
     f = files(spark, sf_dir).select(F.col("path").alias("gold_path"), F.col("text").alias("gold_text"))
-    rows = evaluation.leakage(_gold(spark, sf_dir).join(f, "gold_path"))
-    return rounded(rows.select("query_id", "has_identifier", "n_words", "gold_token_overlap"), "gold_token_overlap")
+    return evaluation.leakage(_gold(spark, sf_dir).join(f, "gold_path"))
 
 
-@query("SELECT t.tier, count(d.doc_id) AS n FROM (VALUES ('blind'), ('guess'), ('golden')) t(tier) LEFT JOIN (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'golden' WHEN doc_id % 2 = 0 THEN 'guess' END AS tier FROM documents) d USING (tier) GROUP BY t.tier")
-def trace_tiers(spark, sf_dir):
-    tier = F.when(F.col("doc_id") % 5 == 0, "golden").when(F.col("doc_id") % 2 == 0, "guess")
-    return evaluation.tier_counts(table(spark, sf_dir, "documents").select(tier.alias("tier")))
+@query(O.with_(*_GOLD, *_LEAK, select="SELECT * REPLACE (round(gold_token_overlap, 6) AS gold_token_overlap), gold_id_hits = 0 AND gold_token_overlap <= 0.5 AS is_blind FROM leak"))
+def leakage_profile(spark, sf_dir):
+    return rounded(evaluation.blind(_leaks(spark, sf_dir)), "gold_token_overlap")
+
+
+@query(O.with_(*_GOLD, *_LEAK, select="SELECT CASE WHEN query_id % 2 = 0 THEN 'even' ELSE 'odd' END AS kind, count(*) AS n, round(avg(has_identifier::INT), 6) AS share_has_identifier, round(avg(stem_in_query::INT), 6) AS share_stem_in_query, quantile_cont(n_words, 0.5)::DOUBLE AS median_words, round(avg(gold_token_overlap), 6) AS mean_overlap FROM leak GROUP BY ALL"))
+def leakage_summary(spark, sf_dir):
+    kind = F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd")
+    return rounded(evaluation.leakage_summary(_leaks(spark, sf_dir).withColumn("kind", kind)), "share_has_identifier", "share_stem_in_query", "mean_overlap")
+
+
+@query(O.with_(*_GOLD, *_LEAK, select="SELECT query_id FROM leak WHERE NOT (gold_id_hits = 0 AND gold_token_overlap <= 0.5)"))
+def blind_gate(spark, sf_dir):
+    f = files(spark, sf_dir).select(F.col("path").alias("gold_path"), F.col("text").alias("gold_text"))
+    return evaluation.forbidden(_gold(spark, sf_dir).join(f, "gold_path"))
 
 
 @query(O.with_(*_EXACT, "m AS (SELECT path, line_no, row_number() OVER (PARTITION BY path ORDER BY line_no) AS n FROM lines WHERE regexp_matches(line, '(?i)licensed.*version'))", "o AS (SELECT path, line_no, row_number() OVER (ORDER BY string_split(path, '/'), line_no)::INT AS rank FROM m WHERE n <= 3)", select="SELECT 1::BIGINT AS query_id, rank, path, line_no AS start_line, line_no AS end_line FROM o WHERE rank <= 10"))
@@ -632,13 +689,13 @@ def grep_baseline(spark, sf_dir):
     return evaluation.grep_baseline(files(spark, sf_dir), 1, "licensed the version")
 
 
-@query()
+@query(O.with_(*_GOLD, O.LS, O.LINES, f"qw AS (SELECT query_id, gold_path, list_transform({_CONTENT.format('query')}, lambda w: lower(w)) AS l FROM g)", "firsts AS (SELECT query_id, gold_path, unnest(list_filter(l, lambda w, i: list_position(l, w) = i)[1:12]) AS word FROM qw)", "lw AS (SELECT path, line_no, unnest(list_distinct(list_transform(regexp_extract_all(line, '[A-Za-z0-9_]+'), lambda w: lower(w)))) AS word FROM lines)", "hit AS (SELECT query_id, gold_path, word, path, line_no FROM (SELECT *, row_number() OVER (PARTITION BY query_id, word, path ORDER BY line_no) AS n FROM lw JOIN firsts USING (word)) WHERE n <= 3)", "rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, word ORDER BY string_split(path, '/'), line_no) AS rank FROM hit)", "best AS (SELECT query_id, min(rank)::INT AS best FROM rk WHERE path = gold_path GROUP BY query_id)", select="SELECT query_id, best FROM g LEFT JOIN best USING (query_id)"))
 def oracle_grep(spark, sf_dir):
     gold = _gold(spark, sf_dir).select("query_id", "query", "gold_path", F.lit(1).alias("gold_start"), F.lit(1 << 30).alias("gold_end"))
     return evaluation.oracle_grep(files(spark, sf_dir), gold)
 
 
-@query()
+@query(O.with_(*_GOLD, O.LS, "v AS (SELECT query_id, query, gold_path, 1 AS a, (query_id % 40)::INT AS b, 'x' AS sha, ls FROM g LEFT JOIN ls ON ls.path = gold_path)", "t AS (SELECT *, count(*) OVER (PARTITION BY query) AS times, array_to_string(ls[a : b], chr(10)) AS body FROM v)", "p AS (SELECT query_id, unnest([CASE WHEN trim(query) = '' THEN 'empty query' END, CASE WHEN times > 1 THEN 'repeated query' END, CASE WHEN ls IS NULL THEN 'gold file is gone' END, CASE WHEN a > b THEN 'span out of order' END, CASE WHEN a < 1 THEN 'span before the file' END, CASE WHEN b > len(ls) THEN 'span beyond the file' END, CASE WHEN ls IS NOT NULL AND trim(coalesce(body, '')) = '' THEN 'gold is blank' END, CASE WHEN ls IS NOT NULL AND sha <> left(sha256(coalesce(body, '')), 16) THEN 'gold has changed' END]) AS problem FROM t)", select="SELECT query_id, problem FROM p WHERE problem IS NOT NULL"))
 def query_validation(spark, sf_dir):
     gold = _gold(spark, sf_dir).select("query_id", "query", "gold_path", F.lit(1).alias("gold_start"), (F.col("query_id") % 40).cast("int").alias("gold_end"), F.lit("x").alias("gold_sha"))
     return evaluation.query_problems(gold, files(spark, sf_dir))
@@ -649,7 +706,7 @@ def stage_percentiles(spark, sf_dir):
     return rounded(evaluation.percentiles(table(spark, sf_dir, "events"), "value", "event_type"), "p50", "p90", "p99")
 
 
-@query("SELECT role AS kind, count(*) AS n, left(sha256(string_agg(text, chr(10) ORDER BY conv_id * 1000 + turn, text)), 16) AS fingerprint FROM conversations GROUP BY role")
+@query("WITH o AS (SELECT role AS kind, conv_id * 1000 + turn AS i, sha256(coalesce(text, '')) AS d FROM conversations), r AS (SELECT kind, i // 4096 AS run, count(*) AS n, sha256(string_agg(d, '' ORDER BY i, d)) AS d FROM o GROUP BY ALL) SELECT kind, sum(n)::BIGINT AS n, left(sha256(string_agg(d, '' ORDER BY run)), 16) AS fingerprint FROM r GROUP BY kind")
 def query_manifest(spark, sf_dir):
     q = table(spark, sf_dir, "conversations").select(F.col("role").alias("kind"), (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
     return evaluation.manifest(q)
@@ -657,3 +714,6 @@ def query_manifest(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_hybrid(spark, sf_dir)
+
+
+from quarry.plans import checks  # noqa: E402, F401  registers its queries too

@@ -51,19 +51,25 @@ def from_folder(spark: SparkSession, root: str, max_bytes: int | None = MAX_FILE
     named, rules = _unlisted(spark, root, hidden) if not is_file(spark, root) else ([], {})
     if named:
         files = files.select("path", "modificationTime", "length", "content").unionByName(_opened(spark, named))
-    if max_bytes is not None:
-        files = files.where(F.col("length") <= max_bytes)
     clean = re.sub(r"^file:/*|^/+", "", root.rstrip("/"))
     full = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), r"^file:/*|^[a-z]+://[^/]*/", "")
     inside = F.when(full == clean, F.substring_index(full, "/", -1)).otherwise(full.substr(F.lit(len(clean) + 2), F.length(full)))
     files = files.select(inside.alias("path"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"), "content")
-    files = files.where(~F.col("path").rlike(INDEX_DIR))
     if ignored:
         files = unignored(files, rules)
-    if not hidden:
-        files = files.where(~F.col("path").rlike(r"(^|/)\.[^/]"))
     if ignore:
         files = files.where(~glob_match(F.col("path"), ignore))
+    return readable(files, max_bytes, hidden)
+
+
+def readable(files: DataFrame, max_bytes: int | None = MAX_FILE_BYTES, hidden: bool = False) -> DataFrame:
+    """path, size, mtime, text of the files (path, size, mtime, content) that a walk keeps: of a size, outside of index
+    folders, not hidden, without a zero byte in the first 8 KiB."""
+    if max_bytes is not None:
+        files = files.where(F.col("size") <= max_bytes)
+    files = files.where(~F.col("path").rlike(INDEX_DIR))
+    if not hidden:
+        files = files.where(~F.col("path").rlike(r"(^|/)\.[^/]"))
     files = files.where(F.position(F.lit(bytearray(b"\0")), F.substring("content", 1, 8192)) == 0)
     return files.select("path", "size", "mtime", F.decode("content", "UTF-8").alias("text"))
 

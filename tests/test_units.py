@@ -167,3 +167,30 @@ def test_minable_paths(spark):
     paths = ["a.py", "LICENSE", "b.MD", "c.lock", "go.sum", "x.d/run"] + [f"z.{e}" for e in NOT_MINABLE]
     df = spark.createDataFrame([(p,) for p in paths], "path string")
     assert [r.path for r in df.where(minable(F.col("path"))).collect()] == ["a.py", "LICENSE", "x.d/run"] and len(NOT_MINABLE) == 24 and len(evaluation.STOPWORDS) == 33
+
+
+def test_reports_refuse_what_they_cannot_answer(spark, tmp_path):
+    from quarry.operators import reports
+
+    rows = spark.createDataFrame([("a", 1, None), ("b", 2, "x")], "kind string, n int, extra string")
+    assert [r.n for r in reports.selected(rows, "n=2,extra=X").collect()] == [2] and reports.selected(rows, "").count() == 2
+    assert [r[0] for r in rows.select(reports.cell(rows, ["extra"])).collect()] == ["a|extra=none", "b|extra=x"]
+    for wrong in (lambda: reports.selected(rows, "gone=1"), lambda: reports.selected(rows, "n"), lambda: reports.cell(rows, ["gone"]), lambda: reports.resumed(rows, rows, {"a": 1}, {"a": 2})):
+        with pytest.raises(ValueError, match=r"\S"):
+            wrong()
+    path = str(tmp_path / "traces")
+    reports.append_rows(spark.createDataFrame([("t1", "where is net", "guess", ("cosqa",), ("a/b", "0"), ([], ["src/net/x.rs"]))], reports.TRACE_ROW), path)
+    reports.append_rows(spark.createDataFrame([("t2", None, "blind", ("cosqa",), ("a/b", "0"), (["f.rs:A.flush_it"], None))], reports.TRACE_ROW), path)
+    back = reports.read_rows(spark, path, reports.TRACE_ROW)
+    assert sorted((r.id, r.problem) for r in reports.trace_problems(back).collect()) == [("t2", "missing query")]
+    cells = spark.createDataFrame([("bm25", "k", 0, 1), ("bm25", "k", 1, 0)], "mode string, kind string, ordinal long, rank int")
+    queries = spark.createDataFrame([("k", 0, True), ("k", 1, None), ("k", 2, False)], "kind string, ordinal long, is_blind boolean")
+    assert [(r.mode, r.kind) for r in reports.misfits(cells, queries).collect()] == [("bm25", "k")]
+    assert [(r.stratum, r.n, r.recall_5) for r in reports.blind_cut(cells, queries).collect()] == [("blind", 1, 1.0)]
+
+
+def test_digest_of_a_query_set_goes_by_order(spark):
+    one = spark.createDataFrame([("k", i, f"q{i}") for i in range(50)], "kind string, query_id long, query string")
+    two = spark.createDataFrame([("k", i, f"q{i}") for i in reversed(range(50))], "kind string, query_id long, query string")
+    prints = [evaluation.manifest(df, 8).first().fingerprint for df in (one, two, one.where("query_id > 0"))]
+    assert prints[0] == prints[1] != prints[2]
