@@ -107,7 +107,7 @@ _LEADS = re.compile(r"^\s*(?:///|//!|//|/\*|\*|#|@)")
 def definition_end(lines: list[str], at: int) -> int:
     """The last line of the declaration at a line: by braces if its head opens one, else by indent."""
     depth, opened = 0, False
-    for i in range(at, min(len(lines), at + 400)):
+    for i in range(at, len(lines)):
         code = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|//.*", "", lines[i])
         depth += code.count("{") - code.count("}")
         opened = opened or "{" in code

@@ -13,6 +13,7 @@ from quarry.functions.text import DECLARERS, MODIFIERS, clip, quoted_path
 from quarry.operators.finalize import tokens as tokens_of
 
 _WORD = re.compile(r"\w+")
+_SET = re.compile(r"[ \t]*=(?![=>~])")
 
 
 def declared_names(text: str) -> list[str]:
@@ -48,7 +49,7 @@ def declaration_tokens(text: str) -> list[str]:
         at = m.end()
         if m[0] in DECLARERS:
             in_head = True
-        elif in_head or parameters is not None and depth > parameters or re.match(r"[ \t]*=(?![=>~])", text[at : at + 40]):
+        elif in_head or parameters is not None and depth > parameters or _SET.match(text, at):
             found.update(dict.fromkeys(tokens_of(m[0])))
     return list(found)
 
