@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import warnings
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -91,8 +92,9 @@ def first_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[np
 def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: float = 5e-4, rounds: int = 2000) -> list[tuple[int, np.ndarray]]:
     """(sequences, pattern) pairs that hold every piece: min sum x over A x = counts, rounded.
 
-    Ends when the value is within gap of Farley's bound (value over the price of the best pattern), or after rounds
-    exchanges; rounding down then leaves less than one sequence for each pattern in the basis, packed first-fit.
+    Ends when the value is within gap of Farley's bound (value over the price of the best pattern), or, with a warning,
+    after rounds exchanges: the plan then holds every piece too, with more padding. Rounding down leaves less than one
+    sequence for each pattern in the basis, packed first-fit.
     """
     m = len(lengths)
     if not m:
@@ -119,6 +121,8 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: float = 5
         inverse -= np.outer(step, row)
         inverse[out] = row
         columns[out] = pattern
+    else:
+        warnings.warn(f"packing: {x.sum():.0f} sequences, at least {bound:.0f}, after {rounds} exchanges", stacklevel=2)
     left, plan = counts.copy(), []
     for n, pattern in sorted(((int(v + 1e-7), tuple(p)) for v, p in zip(x, columns, strict=True)), reverse=True):
         use = np.array(pattern)
