@@ -124,7 +124,7 @@ def _verify(queries: pd.DataFrame, points: pd.DataFrame, k: int, limit: float) -
     return found.astype({"query_id": "int64", "vec_id": "Int64", "score": "float64", "seen": "int64"})
 
 
-def nearest(points: DataFrame, is_query, k: int = 5, dims: int = 16, confidence: float = 0.95, sample: int = 32_768, leaf: int = 2048, chunk: int = 4096, block: int = 8192, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(points: DataFrame, is_query, k: int = 5, dims: int = 24, confidence: float = 0.9, sample: int = 32_768, leaf: int = 2048, chunk: int = 4096, block: int = 8192, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score, verified: the k nearest by cosine that each query finds, itself left out, and how
     many points it verified.
 
@@ -176,7 +176,7 @@ def nearest(points: DataFrame, is_query, k: int = 5, dims: int = 16, confidence:
 
     def visit(wanted: DataFrame) -> DataFrame:
         """The best of each (query, cell) pair; a query goes to every chunk of its cell."""
-        wanted = checkpointed(wanted.select("query_id", "vec", "low", "bound", "cell"))
+        wanted = wanted.select("query_id", "vec", "low", "bound", "cell")
         asks = wanted.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")).join(widths, "cell")
         sent = wanted.join(asks, "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks").cast("long")).cast("int"))
         sent = sent.select("query_id", "vec", "low", "bound", "cell", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"))
