@@ -85,20 +85,7 @@ def postings_order(spark, sf_dir):
     path, options = f"{_shared(spark)}/index-{uuid.uuid4().hex}", SearchOptions(mode="bm25")
     index.build(files(spark, sf_dir), options, path)
     rows = index.load(spark, path, options).terms.postings
-
-    def count(stream):
-        for batch in stream:
-            p = batch.to_pandas()
-            keys = list(zip(p.term, p.path, p.start_line, strict=True))
-            yield pd.DataFrame({"rows": [len(p)], "bad": [sum(a >= b for a, b in zip(keys, keys[1:], strict=False))]})
-
-    def frames(stream):
-        import pyarrow as pa
-
-        for out in count(stream):
-            yield pa.RecordBatch.from_pandas(out, preserve_index=False)
-
-    bad = rows.mapInArrow(frames, "rows long, bad long").agg(F.sum("bad").alias("out_of_order"))
+    bad = index.out_of_order(rows).agg(F.sum("bad").alias("out_of_order"))
     return rows.agg(F.count("*").alias("rows"), F.count_distinct("term").alias("terms"), F.sum(F.col("tf").cast("long")).alias("total")).crossJoin(bad)
 
 
