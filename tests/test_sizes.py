@@ -2,14 +2,16 @@
 
 import tracemalloc
 
-import duckdb
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators import evaluation, lexical, passes, semantic
+from quarry.plans import index, registry
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_word_ranges_take_little_memory(spark, monkeypatch):
@@ -26,3 +28,133 @@ def test_word_ranges_take_little_memory(spark, monkeypatch):
     got = out.to_pylist()
     assert got[20] is None and got[21] == [] and len(got[0]) == 20_000 and got[0][-1] == {"start": 99_995, "end": 99_999}
     assert got[22] == [{"start": 0, "end": 5}, {"start": 9, "end": 10}, {"start": 11, "end": 16}]
+
+
+@pytest.fixture
+def one_task(spark):
+    """Tables are written in several files, all of which one task reads, the largest first."""
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_postings_order_is_judged_by_file(spark, one_task):
+    got = registry.QUERIES["postings_order"](spark, SF).first()
+    assert got.rows > 0 and got.out_of_order == 0
+
+
+def test_out_of_order_sees_ends_of_parts(spark, tmp_path, one_task):
+    rows = [("a", "p", 1), ("b", "p", 1), ("b", "p", 1), ("b", "o", 9), ("c", "p", 2), ("a", "p", 1)]
+    spark.createDataFrame(rows, "term string, path string, start_line int").coalesce(1).write.parquet(str(tmp_path / "x"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        assert [r.bad for r in index.out_of_order(spark.read.parquet(str(tmp_path / "x"))).collect()] == [3]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def no_join(monkeypatch, kind):
+    """Fails where a plan pairs all rows with all queries by a join."""
+    monkeypatch.setattr(kind, "crossJoin", lambda *a: pytest.fail("a join of all pairs"))
+
+
+@pytest.mark.parametrize("quantized", [False, True])
+def test_nearest_of_blocks(spark, monkeypatch, quantized):
+    no_join(monkeypatch, type(spark.range(1)))
+    monkeypatch.setattr(passes, "ROWS", 64)
+    monkeypatch.setattr(passes, "QUERIES", 3)
+    draws = np.random.default_rng(3)
+    v = draws.integers(-127, 128, (300, 8)).astype(float) if quantized else draws.normal(size=(300, 8))
+    v[100:180] = v[7]  # a large group of copies
+    v[200] = 0
+    kind = "tinyint" if quantized else "double"
+    rows = spark.createDataFrame([(i, [int(c) for c in r] if quantized else r.tolist()) for i, r in enumerate(v)], f"vec_id long, x array<{kind}>").repartition(3)
+    name = "q" if quantized else "v"
+    rows = rows.withColumnRenamed("x", name)
+    asked = rows.where("vec_id % 25 = 0 OR vec_id = 7").withColumnRenamed("vec_id", "query_id")
+    found = (semantic.nearest if quantized else semantic.nearest_exact)(rows, asked, 6, ["vec_id"])
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, round(r.distance, 9)))
+    for q in [*range(0, 300, 25), 7]:
+        size = np.linalg.norm(v, axis=1) * np.linalg.norm(v[q])
+        d = 1 - v @ v[q] / 127**2 if quantized else np.where(size > 0, 1 - v @ v[q] / np.where(size > 0, size, 1), 1.0)
+        want = sorted((round(x, 9) + 0.0, i) for i, x in enumerate(d))[:6]
+        assert [i for i, _ in got[q]] == [i for _, i in want] and np.allclose([x for _, x in got[q]], [x for x, _ in want])
+
+
+def test_nearest_without_whole_vectors(spark):
+    rows = spark.createDataFrame([(1, None), (2, [1.0, None]), (3, [1.0, 0.0])], "vec_id long, v array<double>")
+    asked = rows.where("vec_id <> 1").withColumnRenamed("vec_id", "query_id")
+    got = [(r.query_id, r.vec_id, r.distance) for r in semantic.nearest_exact(rows, asked, 2, ["vec_id"]).orderBy("query_id", "rank").collect()]
+    assert got == [(2, 1, None), (2, 2, None), (3, 3, 0.0), (3, 1, None)]
+
+
+def exchanged(df):
+    """Whether a plan shuffles rows by anything but the query or for a total."""
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x and "(query_id" not in x]
+
+
+def test_pooling_shuffles_nothing_and_equals_the_table(spark, monkeypatch):
+    monkeypatch.setattr(passes, "TOKENS", 7)
+    rows = [("a", 1, ["ab", "cd", "ab"]), ("b", 1, []), ("c", 9, ["né"] * 20), ("d", 2, None)]
+    tokens = spark.createDataFrame(rows, "path string, start_line int, tokens array<string>")
+    terms = tokens.select(F.explode("tokens").alias("term"))
+    weights = semantic.Weights(spark.createDataFrame([("ab", 0.25)], "term string, w double"), 0.5, (0.1,) * 32)
+    for w in (None, weights):
+        new, old = semantic.pooled(tokens, weights=w), semantic.pooled(tokens, semantic.term_vectors(terms), w)
+        assert w is not None or not exchanged(new)
+        new, old = ({r.path: r.v for r in df.collect()} for df in (new, old))
+        assert new.keys() == old.keys() and all(np.allclose(new[p], old[p], atol=1e-12) for p in old)
+
+
+@pytest.mark.parametrize("prefix", ["", "en"])
+def test_bm25_of_partitions_equals_the_join(spark, monkeypatch, prefix):
+    every = registry.tokens(spark, SF).persist()
+    asked = spark.read.parquet(f"{SF}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("phrase"))
+    new = lexical.bm25(every, asked, 7, prefix)
+    assert not exchanged(new)
+    monkeypatch.setattr(lexical, "FEW", 0)
+    old = lexical.bm25(every, asked, 7, prefix)
+    new, old = (sorted((r.query_id, r.rank, r.path, r.start_line, round(r.score, 9)) for r in df.collect()) for df in (new, old))
+    assert new == old and len(new) > 50
+    every.unpersist()
+
+
+def test_gold_of_partitions_equals_the_join(spark, monkeypatch):
+    new = sorted(map(tuple, registry._gold(spark, SF).collect()))
+    monkeypatch.setattr(lexical, "FEW", 0)
+    assert new == sorted(map(tuple, registry._gold(spark, SF).collect())) and len(new) == 40
+
+
+def test_compare_holds_no_query(spark, monkeypatch):
+    monkeypatch.setattr(evaluation, "bootstrap", lambda *a: pytest.fail("one number a query on the driver"))
+    a = spark.range(3000).select(F.col("id").alias("query_id"), F.when(F.col("id") % 3 == 0, 1).alias("first"))
+    b = spark.range(3000).select(F.col("id").alias("query_id"), F.when(F.col("id") % 2 == 0, 1).alias("first"))
+    got = evaluation.compare(a, b)
+    assert (got["n"], got["wins"], got["losses"], got["verdict"]) == (3000, 1000, 500, "WIN") and 0.13 < got["low"] < 1 / 6 < got["high"] < 0.2
+    assert evaluation.sign_test(600_000, 601_500) == pytest.approx(0.1714, abs=2e-4) and evaluation.sign_test(10, 5_000_000) == 0.0
+
+
+def test_oracle_grep_ranks_no_hits(spark, monkeypatch):
+    files = registry.files(spark, SF)
+    gold = registry._gold(spark, SF).select("query_id", "query", "gold_path", F.lit(2).alias("gold_start"), F.lit(30).alias("gold_end"))
+    new = evaluation.oracle_grep(files, gold)
+    assert "Window" not in new._jdf.queryExecution().executedPlan().toString()
+    new = sorted(map(tuple, new.collect()), key=str)
+    monkeypatch.setattr(evaluation, "PAIRS", 0)
+    assert new == sorted(map(tuple, evaluation.oracle_grep(files, gold).collect()), key=str) and any(r[1] for r in new)
+
+
+def test_query_problems_leave_other_files(spark):
+    plan = registry.QUERIES["query_validation"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan
+
+
+def test_tiers_share_their_tokens(spark):
+    plan = registry.QUERIES["prose_tiers"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and plan.count("Generate") == 1
