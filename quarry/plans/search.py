@@ -123,8 +123,7 @@ def tables(files: DataFrame, options: SearchOptions) -> Tables:
     cut = chunks(files, options.chunk)
     tokens = lexical.chunk_tokens(cut)
     weights = semantic.weights_of(tokens, options.sif_idf, options.sif_center) if options.sif else None
-    terms = tokens.select(F.explode("tokens").alias("term"))
-    return Tables(cut, tokens, semantic.chunk_vectors(tokens, semantic.term_vectors(terms), weights), weights)
+    return Tables(cut, tokens, semantic.chunk_vectors(tokens, weights=weights), weights)
 
 
 def phrases_of(queries: DataFrame) -> DataFrame:
@@ -180,7 +179,8 @@ def search_tables(t: Tables, queries: DataFrame, options: SearchOptions) -> Data
         found = search_tables(t, queries, options.widened()).where(F.col("line").between(low, high))
         again = Window.partitionBy("query_id").orderBy("rank")
         return found.withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= options.k)
-    pool = candidates(t, queries, options).join(t.chunks, KEY)
+    # a bounded head: sent to the chunks, whose text would be shuffled otherwise
+    pool = settled(candidates(t, queries, options)).join(t.chunks, KEY)
     pool = pool.withColumn("decl_share", F.coalesce("decl_share", F.lit(0.0))).withColumn("path_share", F.coalesce("path_share", F.lit(0.0)))
     return hits(pool, phrases_of(queries), replace(options.tail, k=options.k, bm25_pin=options.bm25_pin))
 
