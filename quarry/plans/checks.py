@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from quarry.functions import frames
 from quarry.functions import text as T
 from quarry.functions import vectors as V
 from quarry.operators import chunking, display, evaluation, exact, finalize, lexical, reports, semantic
@@ -289,8 +290,9 @@ _ONCE = f"list_filter({_LEX}, lambda t, i: list_position({_LEX}, t) = i)"
 
 @query(f"WITH l AS (SELECT doc_id, {_LEX} AS l FROM documents), u AS (SELECT doc_id, t, min(i) AS i FROM (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM l) GROUP BY ALL), o AS (SELECT doc_id, string_agg(t, ' ' ORDER BY i) AS once FROM u GROUP BY doc_id) SELECT doc_id, md5(array_to_string({O.tokens('text')}, ' ')) AS split_whole, md5(array_to_string({_NO_KW}, ' ')) AS no_keywords, md5(array_to_string(l, ' ')) AS lexical, md5(coalesce(once, '')) AS once, text AS none FROM documents JOIN l USING (doc_id) LEFT JOIN o USING (doc_id)")
 def prose_tiers(spark, sf_dir):
-    body = lambda tier: F.md5(F.concat_ws(" ", T.render_body(F.col("text"), tier)))
-    return table(spark, sf_dir, "documents").select("doc_id", body("split-whole").alias("split_whole"), body("split-nokw").alias("no_keywords"), body("prune-lex").alias("lexical"), body("prune-uniq").alias("once"), F.get(T.render_body(F.col("text"), "none"), F.lit(0)).alias("none"))
+    docs = frames.held(corpus.spread(table(spark, sf_dir, "documents")), "parts", T.text_tokens(F.col("text"), False))
+    body = lambda tier: F.md5(F.concat_ws(" ", T.render_body(F.col("text"), tier, parts=F.col("parts"))))
+    return docs.select("doc_id", body("split-whole").alias("split_whole"), body("split-nokw").alias("no_keywords"), body("prune-lex").alias("lexical"), body("prune-uniq").alias("once"), F.get(T.render_body(F.col("text"), "none"), F.lit(0)).alias("none"))
 
 
 @query(f"SELECT item_id, array_to_string({_PARTS}, ' ') AS kept, array_to_string({_LEX}, ' ') AS low, array_to_string({_ONCE}, ' ') AS once FROM benchmark")
