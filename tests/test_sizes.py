@@ -1,5 +1,6 @@
 """What large tables show: bounded memory, answers found partition by partition, orders across files."""
 
+import hashlib
 import tracemalloc
 
 import numpy as np
@@ -158,3 +159,14 @@ def test_query_problems_leave_other_files(spark):
 def test_tiers_share_their_tokens(spark):
     plan = registry.QUERIES["prose_tiers"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan and plan.count("Generate") == 1
+
+
+def test_vectors_of_blocks_equal_md5(monkeypatch):
+    called = []
+    monkeypatch.setattr(passes, "md5", lambda data: called.append(data) or hashlib.md5(data))
+    monkeypatch.setattr(passes, "TERMS", 7)
+    terms = [text * n for n in range(1, 60) for text in ("a", "é", "9☃")]
+    got = passes._Vectors(32).of([*terms, "a"])
+    want = [[int(hashlib.md5(f"{t}#{d}".encode()).hexdigest()[:8], 16) / 2147483647.5 - 1.0 for d in range(32)] for t in [*terms, "a"]]
+    assert (got == np.array(want)).all()
+    assert called and all(len(data) > 53 for data in called)  # one call each only where a text leaves MD5's first block
