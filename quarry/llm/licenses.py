@@ -7,6 +7,9 @@ meets the digests of known texts in a hash join.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ SPELLINGS = (
     ("https", "http"), ("&", " and "),
 )
 _COPYRIGHT = r"(^|\n)[^\n]*(copyright (\(c\)|©|[0-9])|\(c\) *[0-9]|©)[^\n]*"
+#: Every line that matches _COPYRIGHT holds one of these; few texts do.
+_SIGNS = ("copyright ", "(c)", "©")
 _OTHER = r"[^\p{L}\p{N}]+"
 
 _WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO
@@ -103,18 +108,34 @@ DIGESTS = (
 )
 
 
-def canonical(text: Column) -> Column:
-    text = F.regexp_replace(F.lower(text), _COPYRIGHT, "$1")
+def spelled(text: Column) -> Column:
+    """Line by line: what it does to a line doesn't depend on the others, so the lines of it are it of the lines."""
+    text = F.lower(text)
+    signed = reduce(Column.__or__, (F.contains(text, F.lit(x)) for x in _SIGNS))
+    text = F.when(signed, F.regexp_replace(text, _COPYRIGHT, "$1")).otherwise(text)
     for a, b in SPELLINGS:
         text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def letters(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, _OTHER, " "))
 
 
+def canonical(text: Column) -> Column:
+    return letters(spelled(text))
+
+
 def known(spark: SparkSession, texts=KNOWN, digests=DIGESTS) -> DataFrame:
     """digest, license: one row for each canonical text; the first identifier that has it, texts before digests."""
-    named = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(texts)], "i int, license string, text string")
+
+    def local(rows, name: str, first: int) -> DataFrame:
+        """By Arrow, which becomes a local relation: lists of rows would start Python workers on the executors."""
+        columns = {"i": pa.array(range(first, first + len(rows)), pa.int32()), "license": pa.array([k for k, _ in rows], pa.string()), name: pa.array([x for _, x in rows], pa.string())}
+        return spark.createDataFrame(pa.table(columns))
+
+    named, given = local(texts, "text", 0), local(digests, "digest", len(texts))
     named = named.select("i", "license", F.sha2(canonical(F.col("text")), 256).alias("digest"))
-    given = spark.createDataFrame([(len(texts) + i, k, d) for i, (k, d) in enumerate(digests)], "i int, license string, digest string")
     return named.unionByName(given).groupBy("digest").agg(F.min_by("license", "i").alias("license"))
 
 
@@ -125,9 +146,9 @@ def scan(docs: DataFrame, texts=KNOWN, digests=DIGESTS, id_col: str = "doc_id",
     identifiers of lines that as a whole are a known text, sorted, comma-joined. Null texts are empty; texts and lines
     without a letter or digit are no licence; rows that share id and text come back once; an empty table gives none.
     """
-    docs = keyed(docs, id_col, text_col)
-    parts = F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("part"))), F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("part"))))
-    pieces = docs.withColumn("p", F.explode(parts)).select("doc_id", "h", "p.whole", canonical(F.col("p.part")).alias("part"))
+    docs = keyed(docs, id_col, text_col).select("doc_id", "h", spelled(F.col("text")).alias("text"))
+    parts = docs.select("doc_id", "h", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("at", "part"))
+    pieces = parts.select("doc_id", "h", (F.col("at") == 0).alias("whole"), letters(F.col("part")).alias("part"))
     pieces = pieces.select("doc_id", "h", "whole", F.sha2("part", 256).alias("digest"), (F.col("part") != "").alias("some"))
     named = F.broadcast(known(docs.sparkSession, texts, digests))  # as many rows as texts and digests
     found = pieces.join(named, (pieces.digest == named.digest) & pieces.some, "left").select("doc_id", "h", "whole", pieces.digest, "license")

@@ -7,6 +7,7 @@ from collections import Counter
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, licenses, oracles
 from quarry.llm.registry import op3_licenses, op9_decontaminate
@@ -134,6 +135,28 @@ def test_licences(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_known_licences_take_no_python_worker(spark):
+    docs = spark.range(3).selectExpr("id AS doc_id", "concat('MIT Licence', id) AS text")
+    assert "ExistingRDD" not in plan_of(licenses.known(spark)) and "ExistingRDD" not in plan_of(licenses.scan(docs))
+    texts, digests = [("A", "The Licence & more"), ("B", "the license AND more")], [("C", "0" * 64), ("D", "0" * 64)]
+    named = {r.license for r in licenses.known(spark, texts, digests).collect()}
+    assert named == {"A", "C"} and licenses.known(spark, (), ()).count() == 0
+    assert {r.license for r in licenses.known(spark, (), digests).collect()} == {"C"}
+
+
+def test_a_text_is_spelled_once_for_itself_and_its_lines(spark):
+    lines = ["ΟΔΟΣ", "Σ", "(c) 2020 me", "x © y", "Copyright", "2020 copyright 1", "sub-", "licence", "İstanbul LICENCE\r", "non-commercial & per", "cent", "", "https://x.y", "MIT Licence", "\u2028(C)  1", "per cent"]
+    rng = random.Random(3)
+    data = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(9))), None, None, None) for i in range(400)]
+    docs = frame(spark, data)
+    apart = docs.select("doc_id", F.transform(F.split("text", "\n"), licenses.canonical).alias("want"), F.transform(F.split(licenses.spelled(F.col("text")), "\n"), licenses.letters).alias("got"))
+    assert apart.where("want <> got").count() == 0 and apart.count() == 400
+    plain = F.regexp_replace(F.lower("text"), licenses._COPYRIGHT, "$1")
+    for a, b in licenses.SPELLINGS:
+        plain = F.replace(plain, F.lit(a), F.lit(b))
+    assert docs.where(plain != licenses.spelled(F.col("text"))).count() == 0
+
+
 def test_whole_licences(spark):
     from pathlib import Path
 
