@@ -156,6 +156,6 @@ def scan(docs: DataFrame, texts=KNOWN, digests=DIGESTS, id_col: str = "doc_id",
     return found.groupBy("doc_id", "h").agg(
         F.max(F.when(F.col("whole"), F.col("digest"))).alias("digest"),
         F.max(F.when(F.col("whole"), F.col("license"))).alias("license"),
-        F.count_if(line).alias("n_license_lines"),
+        F.floor(F.count_if(line) / F.count_if("whole")).alias("n_license_lines"),  # rows that share id and text have a whole each
         F.array_join(F.array_sort(F.collect_set(F.when(line, F.col("license")))), ",").alias("line_licenses"),
     ).drop("h")

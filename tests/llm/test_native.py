@@ -157,6 +157,17 @@ def test_a_text_is_spelled_once_for_itself_and_its_lines(spark):
     assert docs.where(plain != licenses.spelled(F.col("text"))).count() == 0
 
 
+def test_lines_of_rows_that_share_id_and_text_count_once(spark, tmp_path):
+    data = [(7, "a\nMIT License\nMIT License", None, None, None)] * 3 + [(7, "MIT License", None, None, None), (None, "x\nMIT License", None, None, None), (None, "x\nMIT License", None, None, None)]
+    frame(spark, data).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = op3_licenses(spark, str(tmp_path))
+    assert dict(found.dtypes)["n_license_lines"] == "bigint"
+    got = sorted(((r.doc_id, r.n_license_lines) for r in found.collect()), key=str)
+    assert got == sorted(con.sql(f"SELECT doc_id, n_license_lines FROM ({oracles.op3()})").fetchall(), key=str) == [(7, 1), (7, 2), (None, 1)]
+
+
 def test_whole_licences(spark):
     from pathlib import Path
 
